@@ -6,14 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import decontam, line_dedup, simhash_dedup
+from siltstone.llm import decontam, line_dedup, packing, quality_rules, simhash_dedup, url_rules
 from siltstone.llm.common import only, table
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(table(spark, sf_dir, "documents")).select("doc_id", "n_chars")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_rules.match(pages, url_rules.mine(url_rules.labelled_pages(pages, table(spark, sf_dir, "labels"))))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.groups(table(spark, sf_dir, "documents"))
 
@@ -23,11 +36,15 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
+    "op3_packing": op3_packing,
     "op5_decontamination": op5_decontamination,
+    "op6_url_rules": op6_url_rules,
     "op8_simhash": op8_simhash,
     "op9_line_dedup": op9_line_dedup,
 }
 
 SQL: dict[str, str] = {
+    "op1_quality_rules": quality_rules.SQL,
     "op9_line_dedup": line_dedup.SQL,
 }
