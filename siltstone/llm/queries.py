@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import decontam, line_dedup, packing, quality_rules, simhash_dedup, url_rules
+from siltstone.llm import decontam, lempel_ziv_dedup, line_dedup, packing, quality_rules, runlength_dedup, simhash_dedup, url_rules
 from siltstone.llm.common import only, table
 
 
@@ -27,6 +27,10 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.match(pages, url_rules.mine(url_rules.labelled_pages(pages, table(spark, sf_dir, "labels"))))
 
 
+def op7_runlength_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runlength_dedup.duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.groups(table(spark, sf_dir, "documents"))
 
@@ -35,16 +39,24 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(only(table(spark, sf_dir, "documents"), "doc_id", "text"))
 
 
+def op10_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lempel_ziv_dedup.duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_packing": op3_packing,
     "op5_decontamination": op5_decontamination,
     "op6_url_rules": op6_url_rules,
+    "op7_runlength_index": op7_runlength_index,
     "op8_simhash": op8_simhash,
     "op9_line_dedup": op9_line_dedup,
+    "op10_lempel_ziv": op10_lempel_ziv,
 }
 
 SQL: dict[str, str] = {
     "op1_quality_rules": quality_rules.SQL,
+    "op7_runlength_index": runlength_dedup.SQL,
     "op9_line_dedup": line_dedup.SQL,
+    "op10_lempel_ziv": lempel_ziv_dedup.SQL,
 }
