@@ -1,4 +1,12 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read by the next."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read by the next.
+
+Documents whose language isn't identified go; later occurrences of three-line windows go from the
+texts; of near duplicates one document stays; documents that overlap the benchmark go; what is left
+is packed into context windows. All stages but the last return the columns of documents.
+
+A row without a doc_id passes the stages that name documents by it; texts that are null or empty go
+in the first stage. An empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -6,19 +14,44 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siltstone.llm import line_dedup
+from siltstone.llm import decontam, language_id, line_dedup, packing, simhash_dedup
 from siltstone.llm.common import shared_dir, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language_id.stage(docs)
+
+
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.stage(docs)
+    out = line_dedup.stage(docs)
+    return out.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash_dedup.stage(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.stage(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.packed(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("line_dedup", lines)]
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", identify),
+    ("line_dedup", lines),
+    ("simhash_dedup", near_duplicates),
+    ("decontamination", decontaminate),
+    ("packing", pack),
+]
 
+#: Networks, fingerprints and packing can't be said in SQL.
 ORACLE_SQL = None
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import decontam, lempel_ziv_dedup, line_dedup, packing, quality_rules, runlength_dedup, simhash_dedup, url_rules
+from siltstone.llm import decontam, language_id, lempel_ziv_dedup, line_dedup, packing, pii, quality_rules, runlength_dedup, simhash_dedup, url_rules
 from siltstone.llm.common import only, table
 
 
@@ -14,10 +14,18 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents")).select("doc_id", "n_chars")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.accepted(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found_items(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -45,7 +53,9 @@ def op10_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_language_id": op2_language_id,
     "op3_packing": op3_packing,
+    "op4_pii": op4_pii,
     "op5_decontamination": op5_decontamination,
     "op6_url_rules": op6_url_rules,
     "op7_runlength_index": op7_runlength_index,
