@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from siltstone.functions.vectors import metric_of, similarity
 
 #: Fewer vectors than this are always searched exactly.
 ANN_LEAST = 16
+#: Vectors in a block of a search in which every row is a query.
+BLOCK = 2048
 
 
 def scored(df: DataFrame, key: str, column: str, query: list[float], metric: str | None = None) -> DataFrame:
@@ -63,6 +66,69 @@ def batch(df: DataFrame, key: str, column: str, queries: dict[int, list[float]],
     return best.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
 
 
+def _blocks(size: int):
+    """(dim, keys, vectors): at most ``size`` vectors of one length in a row, packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def row(dim: int, n: int) -> pa.RecordBatch:
+            keys, vectors = (np.concatenate(x) for x in zip(*held[dim], strict=True))
+            held[dim] = [(keys[n:], vectors[n:])]
+            return pa.record_batch([pa.array([dim], pa.int32()), pa.array([keys[:n].tobytes()], pa.binary()), pa.array([vectors[:n].tobytes()], pa.binary())], names=["dim", "keys", "vectors"])
+
+        for rows in batches:
+            sizes = pc.list_value_length(rows.column(1)).to_numpy(zero_copy_only=False)
+            for dim in np.unique(sizes):
+                own = rows.filter(pa.array(sizes == dim))
+                vectors = own.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
+                held.setdefault(int(dim), []).append((own.column(0).to_numpy(zero_copy_only=False).astype(np.int64), vectors))
+                while sum(len(k) for k, _ in held[dim]) >= size:
+                    yield row(int(dim), size)
+        for dim, parts in held.items():
+            if n := sum(len(k) for k, _ in parts):
+                yield row(dim, n)
+
+    return run
+
+
+def every(df: DataFrame, key: str, column: str, k: int, metric: str | None = None, block: int = BLOCK) -> DataFrame:
+    """(query_id, key, score, rank): the best ``k`` for every row as a query, itself among them.
+
+    Blocks of queries meet blocks of vectors, one matrix product each, of which the best ``k`` of each query
+    are kept; nothing goes through the driver. Vectors only meet those as long as they are; rows without a
+    key or vector are left out, and a key is expected once.
+    """
+    name, spark = metric_of(metric), df.sparkSession
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pairs in batches:
+            for dim, ids, asked, other, keys, vectors in zip(*(pairs.column(c) for c in ("dim", "ids", "asked", "other", "keys", "vectors")), strict=True):
+                if dim != other:
+                    continue
+                ids, keys = (np.frombuffer(x.as_buffer(), dtype=np.int64) for x in (ids, keys))
+                asked, vectors = (np.frombuffer(x.as_buffer(), dtype=np.float64).reshape(-1, dim.as_py()) for x in (asked, vectors))
+                score = _similarities(asked, vectors, name)
+                n = min(k, len(keys))
+                least = np.partition(score, len(keys) - n, axis=1)[:, len(keys) - n]
+                q, v = np.nonzero(score >= least[:, None] - 2e-9)  # all that may tie with the last at nine decimals
+                found = score[q, v]
+                order = np.lexsort((keys[v], -np.round(found, 9), q))
+                q, v, found = q[order], v[order], found[order]
+                kept = np.arange(len(q)) - np.searchsorted(q, q) < k
+                yield pa.record_batch([pa.array(ids[q[kept]]), pa.array(keys[v[kept]]), pa.array(found[kept])], names=["query_id", key, "score"])
+
+    usable = df.filter(F.col(key).isNotNull() & (F.size(column) > 0)).select(key, column)
+    # few partitions, so that blocks are full and each is sent to few tasks
+    parts = max(1, int(spark.sparkContext.defaultParallelism))
+    blocks = usable.mapInArrow(_blocks(block), "dim int, keys binary, vectors binary")
+    left = blocks.toDF("dim", "ids", "asked").repartition(parts)
+    pairs = left.crossJoin(blocks.withColumnRenamed("dim", "other").repartition(parts))
+    best = pairs.mapInArrow(run, f"query_id bigint, {key} bigint, score double")
+    order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), key)
+    return best.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
+
+
 def mode(asked: dict | None, vectors: int) -> str:
     """exact, ann_preview or exact_fallback."""
     if asked is None:

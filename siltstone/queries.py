@@ -353,6 +353,12 @@ def knn_batch(spark: SparkSession, d: str) -> DataFrame:
     return nearest.batch(df, "vec_id", "embedding", queries, 10).withColumn("score", F.round("score", 6))
 
 
+@query()
+def knn_batch_every(spark: SparkSession, d: str) -> DataFrame:
+    """As ``knn_batch``, whose SQL has 20 queries, but every row is a query."""
+    return nearest.every(table(spark, d, "embeddings"), "vec_id", "embedding", 10).withColumn("score", F.round("score", 6))
+
+
 @query()
 def ann_preview(spark: SparkSession, d: str) -> DataFrame:
     q = {"query": "find", "collection": "embeddings", "vector": {"field": "embedding", "query": first_vector(spark, d), "k": 10, "metric": "cosine"}, "vector_ann": {}, "projection": []}
