@@ -15,6 +15,8 @@ from siltstone.functions.vectors import metric_of, similarity
 
 #: Fewer vectors than this are always searched exactly.
 ANN_LEAST = 16
+#: Cells are probed until at most ``MISSED`` of the sampled queries have less than ``RECALL`` of their exact neighbours.
+RECALL, MISSED = 0.9, 0.01
 #: Vectors in a block of a search in which every row is a query.
 BLOCK = 2048
 
@@ -147,6 +149,7 @@ class Cells:
         n = df.count()
         rows = df.select(column).filter(F.col(column).isNotNull()).sample(fraction=min(1.0, 1.2 * sample / max(n, 1)), seed=seed).limit(sample).collect()
         points = np.array([r[0] for r in rows], dtype=np.float64)
+        self.points, self.measured = points.copy(), {}
         points /= np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-12)
         rng = np.random.default_rng(seed)
         self.centres = points[rng.permutation(len(points))[: min(cells, len(points))]]
@@ -169,8 +172,33 @@ class Cells:
 
         return df.withColumn("cell", cell(F.col(column)))
 
+    def probes(self, k: int, metric: str | None = None) -> int:
+        """Cells to probe for ``k`` neighbours, as measured on the sample; all where nothing less will do.
+
+        Up to about 2000 sampled vectors are queries, and their exact neighbours are those in the sample; of a larger
+        table it is an estimate.
+        """
+        name = metric_of(metric)
+        if (k, name) not in self.measured:
+            n, cells = min(k, len(self.points)), len(self.centres)
+            own = (self.points @ self.centres.T).argmax(1)
+            short = np.zeros(cells, dtype=np.int64)  # queries below RECALL with so many cells, less one
+            asked = self.points[:: max(1, len(self.points) // 1000)]
+            for begin in range(0, len(asked), 250):
+                queries = asked[begin : begin + 250]
+                best = np.argsort(-_similarities(queries, self.points, name), axis=1, kind="stable")[:, :n]
+                place = np.argsort(np.argsort(-(queries @ self.centres.T), axis=1), axis=1)
+                probe = np.take_along_axis(place, own[best], axis=1)
+                # hits needed, in order of the probe that finds them: the last needed one is the probe that suffices
+                needed = np.sort(probe, axis=1)[:, max(1, int(np.ceil(RECALL * n - 1e-9))) - 1]
+                short += (needed[:, None] > np.arange(cells)).sum(0)
+            self.measured[k, name] = int(np.argmax(short <= MISSED * len(asked))) + 1
+        return self.measured[k, name]
+
+    def near(self, query: list[float], k: int, metric: str | None = None, probes: int | None = None) -> list[int]:
+        """The cells to search, nearest first."""
+        return np.argsort(-(self.centres @ np.asarray(query, dtype=np.float64)))[: probes or self.probes(k, metric)].tolist()
+
     def nearest(self, assigned: DataFrame, key: str, column: str, query: list[float], k: int, metric: str | None = None, probes: int | None = None) -> DataFrame:
         """The best ``k`` among the vectors of the cells nearest to the query, scored exactly."""
-        probes = probes or max(4, len(self.centres) // 2)
-        near = np.argsort(-(self.centres @ np.asarray(query, dtype=np.float64)))[:probes]
-        return exact(assigned.filter(F.col("cell").isin(near.tolist())), key, column, query, k, metric)
+        return exact(assigned.filter(F.col("cell").isin(self.near(query, k, metric, probes))), key, column, query, k, metric)

@@ -43,3 +43,21 @@ def test_the_query_asks_for_every_row_and_holds_the_batch(spark, small):
     assert {q for q, _ in got} == {r[0] for r in spark.read.parquet(f"{small}/embeddings.parquet").select("vec_id").collect()}
     for r in queries["knn_batch"](spark, small).collect():
         assert got[r["query_id"], r["rank"]] == (r["vec_id"], pytest.approx(r["score"], abs=2e-6))
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2", "dot_product"])
+def test_cells_hold_the_exact_neighbours(spark, small, metric):
+    df = spark.read.parquet(f"{small}/embeddings.parquet")
+    cells = nearest.Cells(df, "embedding")
+    assigned = cells.assigned(df, "embedding")
+    rows = {r["vec_id"]: r for r in assigned.collect()}
+    recall: dict[int, float] = dict.fromkeys(rows, 0.0)
+    for r in nearest.every(df, "vec_id", "embedding", 10, metric).collect():
+        recall[r["query_id"]] += (rows[r["vec_id"]]["cell"] in cells.near(rows[r["query_id"]]["embedding"], 10, metric)) / 10
+    assert np.mean(list(recall.values())) >= 0.9
+    assert np.mean([r < 0.9 - 1e-9 for r in recall.values()]) <= 0.01
+    for q in (0, 1, 2):  # what the cells hold is found, and by every() what exact() finds
+        asked = rows[q]["embedding"]
+        want = {r["vec_id"] for r in nearest.exact(df, "vec_id", "embedding", asked, 10, metric).collect()}
+        got = {r["vec_id"] for r in cells.nearest(assigned, "vec_id", "embedding", asked, 10, metric).collect()}
+        assert len(got & want) / 10 == pytest.approx(recall[q]) and len(got) == 10
