@@ -14,7 +14,8 @@ The result has, for each document, the maximal stretches of words made of such s
 
 Defined results
 * texts that are null, empty or shorter than ``LEAST`` words have no passage, and a null doc_id none.
-* a document is never its own reference; rows of one doc_id are one document.
+* a document is never its own reference, but with ``anywhere`` its other places are; rows of one doc_id are
+  one document, and the same word of them is one place.
 * every document that has a passage is named, the first one as well: ties don't matter.
 * an empty table gives no rows; further columns are ignored; very long texts are searched whole.
 """
@@ -24,7 +25,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from siltstone.llm.repeats import LEAST, SQL, Block, common, covered, repeated_spans, suffix_array
+from siltstone.llm.repeats import LEAST, SQL, Block, common, covered, owners, repeated_spans, suffix_array
 
 __all__ = ["SQL", "duplicates", "factors", "find", "longest"]
 
@@ -32,10 +33,10 @@ __all__ = ["SQL", "duplicates", "factors", "find", "longest"]
 DEPTH = 128
 
 
-def longest(block: Block) -> np.ndarray:
-    """At each place of the block the words of the longest match with another document, up to twice ``DEPTH``."""
+def longest(block: Block, anywhere: bool = False) -> np.ndarray:
+    """At each place of the block the words of the longest match with another document (or place), up to twice ``DEPTH``."""
     order, ranks = suffix_array(block.symbols, DEPTH)
-    doc = block.doc[order]
+    doc = owners(block, anywhere)[order]
     n = len(order)
     change = np.flatnonzero(doc[1:] != doc[:-1]) + 1
     begin = np.zeros(n, dtype=np.int64)
@@ -66,10 +67,10 @@ def factors(block: Block, match: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(starts), np.concatenate(lengths)
 
 
-def find(block: Block) -> np.ndarray:
-    if len(block.docs) < 2:
+def find(block: Block, anywhere: bool = False) -> np.ndarray:
+    if len(block.docs) < (1 if anywhere else 2):
         return np.zeros((0, 3), dtype=np.int64)
-    match = longest(block)
+    match = longest(block, anywhere)
     start, length = factors(block, match)
     long = length >= LEAST
     # a long factor itself, and the words right before a boundary from which a match reaches across it
@@ -83,6 +84,6 @@ def find(block: Block) -> np.ndarray:
     return covered(block.doc[at], block.word[at], block.word[at] + size)
 
 
-def duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, start_word, end_word, n_words) of the passages that other documents have too."""
-    return repeated_spans(docs, find)
+def duplicates(docs: DataFrame, anywhere: bool = False) -> DataFrame:
+    """(doc_id, start_word, end_word, n_words) of the passages that other documents have too, or other places."""
+    return repeated_spans(docs, find, anywhere)

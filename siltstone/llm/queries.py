@@ -51,6 +51,14 @@ def op10_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lempel_ziv_dedup.duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_runlength_index_anywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runlength_dedup.duplicates(table(spark, sf_dir, "documents"), anywhere=True)
+
+
+def op10_lempel_ziv_anywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lempel_ziv_dedup.duplicates(table(spark, sf_dir, "documents"), anywhere=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language_id": op2_language_id,
@@ -62,6 +70,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_line_dedup": op9_line_dedup,
     "op10_lempel_ziv": op10_lempel_ziv,
+    "op7_runlength_index_anywhere": op7_runlength_index_anywhere,
+    "op10_lempel_ziv_anywhere": op10_lempel_ziv_anywhere,
 }
 
 SQL: dict[str, str] = {

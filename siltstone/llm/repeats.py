@@ -4,7 +4,7 @@ A passage of ``LEAST`` words is a window. Each window has an anchor: of its runs
 one with the smallest hash, the last of equals. Equal windows have equal anchors, so a window can only
 repeat where its anchor does, and whatever repeats shares a bucket: the stretches of text around the
 occurrences of an anchor all go to the bucket that the anchor's hash names. Anchors that a single
-document has are dropped before any text is moved. Nothing is sampled: all windows with a repeated
+document has (or of a single place, if passages within a document count) are dropped before any text is moved. Nothing is sampled: all windows with a repeated
 anchor are in the stretches, whole.
 
 Words are runs of bytes between white space. Positions count words from 0.
@@ -69,8 +69,8 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts = batch.column(0).to_numpy(zero_copy_only=False), [raw_bytes(t) for t in batch.column(1).to_pylist()]
         for begin, end in chunks([len(t) for t in texts]):
             text, _, hashed, _ = anchors(words_of(texts[begin:end]))
-            _, one = np.unique(_pair(text, hashed), return_index=True)
-            yield pa.record_batch([pa.array(hashed[one].view(np.int64)), pa.array(ids[text[one] + begin])], names=["anchor", "doc_id"])
+            _, one, times = np.unique(_pair(text, hashed), return_index=True, return_counts=True)
+            yield pa.record_batch([pa.array(hashed[one].view(np.int64)), pa.array(ids[text[one] + begin]), pa.array(times.astype(np.int64))], names=["anchor", "doc_id", "places"])
 
 
 def _stretches(buckets: int):
@@ -184,16 +184,22 @@ def covered(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.stack([doc[first], start[first], far[last]], axis=1)
 
 
-def repeated_spans(docs: DataFrame, find: Callable[[Block], np.ndarray]) -> DataFrame:
+def owners(block: Block, anywhere: bool) -> np.ndarray:
+    """What of each place of the block must differ for two equal windows to be a repeat: the document, or the place in it."""
+    return (block.doc.astype(np.int64) << 40) + block.word if anywhere else block.doc
+
+
+def repeated_spans(docs: DataFrame, find: Callable[[Block, bool], np.ndarray], anywhere: bool = False) -> DataFrame:
     """(doc_id, start_word, end_word, n_words): unions of the windows that ``find`` has in blocks.
 
-    ``find`` takes a block and returns the spans (document in the block, first word, end).
+    ``find`` takes a block and ``anywhere``, and returns the spans (document in the block, first word, end).
+    With ``anywhere``, windows also count that repeat at two places of one document.
     """
     docs = only(docs, "doc_id", "text").filter("doc_id is not null and text is not null")
     every = Window.partitionBy("anchor")
     shared = (
-        docs.mapInArrow(_anchor_rows, "anchor bigint, doc_id bigint")
-        .select("anchor", "doc_id", F.min("doc_id").over(every).alias("a"), F.max("doc_id").over(every).alias("b"))
+        docs.mapInArrow(_anchor_rows, "anchor bigint, doc_id bigint, places bigint")
+        .select("anchor", "doc_id", *[F.sum("places").over(every).alias("b") if anywhere else F.max("doc_id").over(every).alias("b"), F.lit(1).alias("a") if anywhere else F.min("doc_id").over(every).alias("a")])
         .filter("a < b")
     )
     wanted = cut(shared.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")))
@@ -211,7 +217,7 @@ def repeated_spans(docs: DataFrame, find: Callable[[Block], np.ndarray]) -> Data
             heads = np.frombuffer(b"".join(h for h, _ in rows), dtype=np.int64).reshape(-1, 3)
             block = Block(heads, np.frombuffer(b"".join(w for _, w in rows), dtype=np.uint32))
             del rows
-            doc, start, end = find(block).T
+            doc, start, end = find(block, anywhere).T
             yield pa.record_batch([pa.array(block.docs[doc]), pa.array(start), pa.array(end)], names=["doc_id", "start_word", "end_word"])
 
     found = stretches.repartition(buckets, "bucket").mapInArrow(search, SPANS)

@@ -12,7 +12,8 @@ that another document has too.
 
 Defined results
 * texts that are null, empty or shorter than ``LEAST`` words have no passage, and a null doc_id none.
-* a passage that only repeats within one document isn't one; rows of one doc_id are one document.
+* a passage that only repeats within one document isn't one, but with ``anywhere`` it is; rows of one doc_id
+  are one document, and the same word of them is one place.
 * every document that has a passage is named, the first one as well: ties don't matter.
 * an empty table gives no rows; further columns are ignored; very long texts are searched whole.
 """
@@ -22,7 +23,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from siltstone.llm.repeats import LEAST, SQL, Block, common, covered, repeated_spans, suffix_array
+from siltstone.llm.repeats import LEAST, SQL, Block, common, covered, owners, repeated_spans, suffix_array
 
 __all__ = ["SQL", "RunLengthIndex", "duplicates", "find"]
 
@@ -56,21 +57,21 @@ class RunLengthIndex:
         return np.maximum.accumulate(reach) - np.arange(n)
 
 
-def find(block: Block) -> np.ndarray:
-    if len(block.docs) < 2:
+def find(block: Block, anywhere: bool = False) -> np.ndarray:
+    if len(block.docs) < (1 if anywhere else 2):
         return np.zeros((0, 3), dtype=np.int64)
     index = RunLengthIndex(block)
     match = index.statistics()[index.order]
     new = match < LEAST
     new[0] = True
     group = np.flatnonzero(new)
-    doc = block.doc[index.order]
+    doc = owners(block, anywhere)[index.order]
     low, high = np.minimum.reduceat(doc, group), np.maximum.reduceat(doc, group)
     rows = np.repeat(low < high, np.diff(np.concatenate([group, [len(doc)]])))
     at = index.order[rows]
     return covered(block.doc[at], block.word[at], block.word[at] + LEAST)
 
 
-def duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, start_word, end_word, n_words) of the passages that other documents have too."""
-    return repeated_spans(docs, find)
+def duplicates(docs: DataFrame, anywhere: bool = False) -> DataFrame:
+    """(doc_id, start_word, end_word, n_words) of the passages that other documents have too, or other places."""
+    return repeated_spans(docs, find, anywhere)
