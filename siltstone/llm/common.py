@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator, Sequence
 
@@ -42,6 +43,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def loose(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` with the (bigint) columns computed anew, so that Spark doesn't rely on how it is partitioned.
+
+    A join then shuffles this side itself, which is what lets AQE split a hot key of the other side.
+    """
+    return df.withColumns({c: F.col(c).bitwiseXOR(F.lit(0).cast("bigint")) for c in columns})
+
+
 def fresh(taken: Sequence[str], base: str) -> str:
     """A column name like ``base`` which none of ``taken`` has, whatever its case."""
     used = {c.lower() for c in taken}
@@ -100,24 +109,47 @@ def span_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
 class Words:
     """The words of several texts: hash of each word, and where each text's words begin."""
 
-    __slots__ = ("hashes", "first", "starts", "ends")
+    __slots__ = ("hashes", "first")
+
+    def __init__(self, hashes: np.ndarray, first: np.ndarray):
+        self.hashes, self.first = hashes, first
+
 
-    def __init__(self, hashes: np.ndarray, first: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-        self.hashes, self.first, self.starts, self.ends = hashes, first, starts, ends
+#: Bytes of text that are hashed at a time: the arrays over bytes are tens of times as large.
+PIECE = 1 << 21
+_BLANK = re.compile(rb"[\t\n\f\r ]")
 
 
 def words_of(raw: Sequence[bytes]) -> Words:
-    """Words of UTF-8 texts, split at white space. ``starts``/``ends`` are bytes in the joined texts."""
+    """Words of UTF-8 texts, split at white space. Long texts are hashed piece by piece, cut where words end."""
+    hashes, counts = [], np.zeros(len(raw) + 1, dtype=np.int64)
+    for begin, end in chunks([len(r) for r in raw], PIECE):
+        if end == begin + 1 and len(raw[begin]) > PIECE:
+            at, text = 0, raw[begin]
+            while at < len(text):
+                blank = _BLANK.search(text, at + PIECE)
+                stop = blank.start() if blank else len(text)
+                own = _hashed([text[at:stop]])
+                hashes.append(own.hashes)
+                counts[end] += len(own.hashes)
+                at = stop
+        else:
+            own = _hashed(raw[begin:end])
+            hashes.append(own.hashes)
+            counts[begin + 1 : end + 1] = np.diff(own.first)
+    return Words(np.concatenate(hashes) if hashes else np.zeros(0, dtype=U64), np.cumsum(counts))
+
+
+def _hashed(raw: Sequence[bytes]) -> Words:
     joined = np.frombuffer(b" ".join(raw) + b" ", dtype=np.uint8)
     lengths = np.fromiter((len(r) + 1 for r in raw), dtype=np.int64, count=len(raw))
-    blank = SPACE[joined]
-    edge = np.diff(blank.view(np.int8), prepend=np.int8(1))
+    edge = np.diff(SPACE[joined].view(np.int8), prepend=np.int8(1))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if len(ends) > len(starts):
         ends = ends[len(ends) - len(starts) :]
     offsets = np.concatenate([[0], np.cumsum(lengths)])
     hashes = span_hash(_BYTE[joined], starts, ends) if len(starts) else np.zeros(0, dtype=U64)
-    return Words(hashes, np.searchsorted(starts, offsets), starts, ends)
+    return Words(hashes, np.searchsorted(starts, offsets))
 
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
