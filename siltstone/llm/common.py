@@ -37,6 +37,12 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder, wherever it is kept."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)  # noqa: SLF001
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)  # noqa: SLF001
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder, so that its lineage ends here and survives lost executors."""
     shared_dir(df.sparkSession)

@@ -1,7 +1,9 @@
 """Line dedup: later occurrences of windows of three consecutive lines are removed.
 
-Every window of three lines is hashed to 128 bits. Windows are numbered within their hash in the
-order of (doc_id, line); all but the first are repeats. The lines that repeats cover, merged, go.
+Every window of three lines is hashed to 128 bits. The first occurrence of each, in the order of
+(doc_id, line), is found by an aggregate that combines before the shuffle; windows are joined with it,
+where Spark splits the hot ones, and all but the first are repeats. The lines that repeats cover, merged,
+go. No task holds all occurrences of a window.
 
 Defined results
 * null text stays null, with no line removed; a text of fewer than three lines has no window.
@@ -14,22 +16,22 @@ Defined results
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import fresh
+from siltstone.llm.common import cut, fresh, loose
 
 WINDOW = 3
 
 
 def covered_lines(docs: DataFrame) -> DataFrame:
-    """(k_doc, k_row, gone): the line numbers, from 0, that repeated windows cover in a document."""
+    """(k_doc, k_row, starts): where repeated windows begin in a document, by line number from 0, in order."""
     lines = docs.select(
         docs["doc_id"].alias("k_doc"),
         F.xxhash64(docs["text"]).alias("k_row"),
         F.split(docs["text"], "\n", -1).alias("lines"),
     ).filter(F.size("lines") >= WINDOW)
-    windows = (
+    windows = cut(  # read twice
         lines.select("k_doc", "k_row", F.posexplode(F.expr(
             "transform(sequence(0, size(lines) - 3), i -> struct("
             "xxhash64(lines[i], lines[i + 1], lines[i + 2]) AS a, "
@@ -39,29 +41,37 @@ def covered_lines(docs: DataFrame) -> DataFrame:
         .filter("w.full")
         .select("k_doc", "k_row", "at", F.col("w.a").alias("a"), F.col("w.b").alias("b"))
     )
-    # a streaming rank: one shuffle of fixed-size rows, whose sort spills
-    order = Window.partitionBy("a", "b").orderBy("k_doc", "k_row", "at")
-    later = windows.withColumn("nth", F.dense_rank().over(order)).filter("nth > 1")
-    return later.groupBy("k_doc", "k_row").agg(
-        F.array_distinct(F.flatten(F.collect_set(F.array(F.col("at"), F.col("at") + 1, F.col("at") + 2)))).alias("gone")
-    )
+    place = F.struct("k_doc", "k_row", "at")
+    first = windows.groupBy("a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    later = windows.join(loose(first, "a", "b"), ["a", "b"]).filter(place > F.col("first"))
+    return later.groupBy("k_doc", "k_row").agg(F.array_sort(F.collect_set("at")).alias("starts"))
+
+
+def without(lines: Column, starts: Column) -> tuple[Column, Column]:
+    """(the lines outside of the windows that begin at ``starts``, how many are inside)."""
+    n = F.size(lines)
+    after = F.concat(F.array(F.lit(0)), F.transform(starts, lambda s: s + WINDOW))
+    until = F.concat(starts, F.array(n))
+    gaps = F.transform(F.arrays_zip(after.alias("a"), until.alias("u")), lambda x: F.struct(x["a"].alias("a"), F.greatest(x["u"] - x["a"], F.lit(0)).alias("n")))
+    kept = F.flatten(F.transform(F.filter(gaps, lambda x: x["n"] > 0), lambda x: F.slice(lines, x["a"] + 1, x["n"])))
+    return kept, n - F.aggregate(gaps, F.lit(0), lambda total, x: total + x["n"])
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the text that stays, and ``n_removed``: the number of lines taken out."""
     removed = fresh(docs.columns, "n_removed")
-    names = {c: fresh([*docs.columns, removed], c) for c in ("k_doc", "k_row", "gone")}
+    names = {c: fresh([*docs.columns, removed], c) for c in ("k_doc", "k_row", "starts")}
     gone = covered_lines(docs).select(*[F.col(c).alias(n) for c, n in names.items()])
     joined = docs.join(
         gone,
         docs["doc_id"].eqNullSafe(gone[names["k_doc"]]) & (F.xxhash64(docs["text"]) == gone[names["k_row"]]),
         "left",
     )
-    hit = gone[names["gone"]]
-    kept = F.filter(F.split(docs["text"], "\n", -1), lambda _, i: ~F.array_contains(hit, i))
+    starts = gone[names["starts"]]
+    kept, n = without(F.split(docs["text"], "\n", -1), starts)
     return joined.select(
-        *[F.when(hit.isNull(), docs[c]).otherwise(F.array_join(kept, "\n")).alias(c) if c == "text" else docs[c] for c in docs.columns],
-        F.coalesce(F.size(hit), F.lit(0)).cast("long").alias(removed),
+        *[F.when(starts.isNull(), docs[c]).otherwise(F.array_join(kept, "\n")).alias(c) if c == "text" else docs[c] for c in docs.columns],
+        F.when(starts.isNull(), F.lit(0)).otherwise(n).cast("long").alias(removed),
     )
 
 

@@ -5,9 +5,7 @@ from __future__ import annotations
 import itertools
 import random
 
-import numpy as np
-
-from siltstone.llm import decontam, simhash_dedup
+from siltstone.llm import common, decontam, simhash_dedup
 from siltstone.llm.common import normal
 
 SCHEMA = "doc_id bigint, text string"
@@ -38,13 +36,37 @@ def line_dedup(rows: list[tuple[int | None, str | None]]) -> list[tuple]:
     return [out[k] for k in range(len(rows))]
 
 
+def fingerprint(text: bytes) -> int | None:
+    """Signs of the summed hashes of distinct word pairs, bit by bit; None without words."""
+    words = [int(h) for h in common.words_of([text]).hashes]
+    if not words:
+        return None
+    mask = (1 << 64) - 1
+
+    def mix(x: int) -> int:
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & mask
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & mask
+        return x ^ (x >> 31)
+
+    pairs = {mix((a * 0x9E3779B97F4A7C15 + b) & mask) >> 16 for a, b in itertools.pairwise(words)} or {words[0] >> 16}
+    sums = [0] * 256
+    for f in pairs:
+        for c in range(4):
+            h = mix((f + (c + 1) * 0x632BE59BD9B4E019) & mask)
+            for bit in range(64):
+                sums[64 * c + bit] += 1 if h >> bit & 1 else -1
+    toss = [mix((sum(pairs) + c) & mask) >> bit & 1 for c in (5, 6, 7, 8) for bit in range(64)]
+    return sum(1 << k for k, x in enumerate(sums) if x > 0 or (x == 0 and toss[k]))
+
+
 def near_groups(rows: list[tuple[int | None, str | None]]) -> dict[int, int]:
     """doc_id -> smallest doc_id of its group, by comparing all pairs of fingerprints."""
     rows = [(d, normal(t)) for d, t in rows if d is not None and t is not None]
-    if not rows:
-        return {}
-    fps, has = simhash_dedup.fingerprints([t for _, t in rows])
-    kept = [k for k in range(len(rows)) if has[k]]
+    known: dict[bytes, int | None] = {}
+    for _, t in rows:
+        if t not in known:
+            known[t] = fingerprint(t)
+    kept = [k for k in range(len(rows)) if known[rows[k][1]] is not None]
     ids = sorted({rows[k][0] for k in kept})
     root = {d: d for d in ids}
 
@@ -54,7 +76,7 @@ def near_groups(rows: list[tuple[int | None, str | None]]) -> dict[int, int]:
         return d
 
     for a, b in itertools.combinations(kept, 2):
-        if rows[a][0] == rows[b][0] or int(np.bitwise_count(fps[a] ^ fps[b]).sum()) <= simhash_dedup.DISTANCE:
+        if rows[a][0] == rows[b][0] or (known[rows[a][1]] ^ known[rows[b][1]]).bit_count() <= simhash_dedup.DISTANCE:
             x, y = sorted((find(rows[a][0]), find(rows[b][0])))
             root[y] = x
     groups = {d: find(d) for d in ids}
@@ -67,7 +89,7 @@ def leaks(docs: list[tuple], items: list[tuple]) -> dict[tuple, int]:
     out: dict[tuple, int] = {}
     for (doc, text), (item, passage) in itertools.product(docs, set(items)):
         a, b = normal(text).split(), normal(passage).split()
-        if len(b) < decontam.LEAST:
+        if not b or (len(b) < decontam.PHRASE and len(a) != len(b)):
             continue
         window = min(decontam.WINDOW, len(b))
         wrong = decontam.SUBSTITUTIONS if len(b) >= decontam.WINDOW else 0
