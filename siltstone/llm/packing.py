@@ -6,8 +6,9 @@ fit, the longest first; what then is free in the tier's windows is filled with t
 of shorter tiers that fit. The windows of a tier are dealt to step groups of equal capacity, the
 fullest first and in turn forwards and backwards, so that groups hold about as many tokens.
 
-Documents are packed in shards by a hash of doc_id, of about ``SHARD`` documents each, whatever the
-size of the corpus. Only identifiers and lengths are shuffled, never texts.
+Documents are packed in shards of about ``SHARD`` documents each, whatever the size of the corpus. They
+are dealt to shards in turn, so that shards are even whatever their ids; a shard is a task of its own.
+Only identifiers and lengths are shuffled, never texts.
 
 Tokens are counted as a quarter of the UTF-8 bytes, rounded up, or by ``counter``, a column of
 lengths that a tokenizer made.
@@ -22,8 +23,10 @@ Defined results
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,10 +114,11 @@ def packed(docs: DataFrame, counter: Column | None = None, tiers: tuple[int, ...
     shards = max(1, math.ceil(only(docs, "doc_id").count() / shard))
     names = [c.split()[0] for c in SCHEMA.split(", ")]
 
-    def run(key: tuple, group: pa.Table) -> pa.Table:
-        rows = pack(list(zip(group["doc_id"].to_pylist(), group["n"].to_pylist(), strict=True)), tiers, step_tokens)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = [(d, k) for batch in batches for d, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        rows = pack(sorted(own, key=lambda x: (x[0] is not None, x[0] or 0, x[1])), tiers, step_tokens)
+        number = TaskContext.get().partitionId()
         columns = list(zip(*rows, strict=True)) if rows else [()] * 8
-        return pa.table([pa.array([key[0].as_py()] * len(rows), pa.int64()), *(pa.array(list(c), pa.int64()) for c in columns)], names=names)
+        yield pa.record_batch([pa.array([number] * len(rows), pa.int64()), *(pa.array(list(c), pa.int64()) for c in columns)], names=names)
 
-    sharded = lengths.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("bigint"))
-    return sharded.groupBy("shard").applyInArrow(run, SCHEMA)
+    return lengths.repartition(shards).mapInArrow(run, SCHEMA)
