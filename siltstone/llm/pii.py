@@ -18,6 +18,7 @@ Defined results
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -199,7 +200,8 @@ class Finder:
 
         What a path gains by tagging some positions is bounded by taking, at each, the best tag and
         the best of the transitions into, within and out of items; where the best stretch of any
-        window gains nothing, tagging none is best.
+        window gains nothing, tagging none is best. A path pays nothing to begin with an item, or to
+        end with one.
         """
         moves = self.moves - self.moves[0, 0]
         enter, stay, leave = float(moves[0, 1:].max()), float(moves[1:, 1:].max()), max(0.0, float(moves[1:, 0].max()))
@@ -207,7 +209,7 @@ class Finder:
         best = np.full(out.shape[2], -np.inf, dtype=np.float32)
         gains = np.zeros(out.shape[2], dtype=bool)
         for t, gain in enumerate(lead):
-            best = np.maximum(best + stay, enter) + gain
+            best = np.maximum(best + stay, enter if t else 0.0) + gain
             gains |= (best + leave >= 0) & (t < lengths)
         open_ = np.flatnonzero(gains)
         if not len(open_):
@@ -249,11 +251,12 @@ def reconciled(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
             joined[-1][1] = max(e, joined[-1][1])
         else:
             joined.append([s, e, k])
-    kept: list[tuple[int, int, int]] = []
+    kept: list[tuple[int, int, int]] = []  # in order, none overlaps another: only the neighbours need a look
     for s, e, k in sorted(joined, key=lambda x: (x[0] - x[1], x[0], x[2])):
-        if all(e <= a or s >= b for a, b, _ in kept):
-            kept.append((s, e, k))
-    return sorted(kept)
+        at = bisect.bisect(kept, (s, e, k))
+        if (not at or kept[at - 1][1] <= s) and (at == len(kept) or kept[at][0] >= e):
+            kept.insert(at, (s, e, k))
+    return kept
 
 
 def fit(texts: list[str], steps: int = STEPS, seed: int = 9) -> Finder:
