@@ -32,7 +32,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return url_rules.match(pages, url_rules.mine(url_rules.labelled_pages(pages, table(spark, sf_dir, "labels"))))
+    return url_rules.judge(pages, url_rules.mine(url_rules.labelled_pages(pages, table(spark, sf_dir, "labels"))))
 
 
 def op7_runlength_index(spark: SparkSession, sf_dir: str) -> DataFrame:
