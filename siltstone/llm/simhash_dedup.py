@@ -7,16 +7,21 @@ centres make lists of the fingerprints whose partial weight on the strip, counte
 is low. Two close fingerprints meet in a list far more often than two others. Lists that are still
 long are filtered again by weights on further strips; short ones are searched by brute force. All is
 repeated with other strips as often as the target recall needs, by a simulation of the filters at
-the design distance. Groups are the connected components of what is found.
+``DISTANCE``: half of what may be missed is left to the strips of the shuffled lists, the other half
+to the recursion, halved again at each depth. So the recall holds at every size. Where lists would
+outgrow a task, those that are shuffled are filtered twice before. Groups are the connected components
+of what is found.
 
-Equal fingerprints are one point of the search, so copies by the thousand cost nothing.
+Equal fingerprints are one point of the search and of the components, so copies by the thousand cost
+nothing: they are joined with their point's group at the end, where Spark splits the hot ones.
 
 Defined results
 * a null text, or one without words, is no duplicate of anything.
 * a text of one word has the fingerprint of that word.
-* rows of the same doc_id are one document; one whose rows differ is in the group of either text.
-* a null doc_id can't name a group: such rows are in none, and the stage keeps them.
-* the document of a group that stays is the one with the smallest doc_id.
+* ``groups`` names documents: rows of the same doc_id are one document; one whose rows differ is in the
+  group of either text. A null doc_id can't be named, and is in no group.
+* the stage judges rows by their text. Of a group the row with the smallest doc_id stays, those without
+  one last and ties by a hash of the text; of rows equal in doc_id and text one stays.
 * an empty table has no groups; further columns are ignored, or carried along by the stage.
 """
 
@@ -31,20 +36,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import U64, chunks, cut, fresh, mix, normal, only, words_of
+from siltstone.llm.common import U64, chunks, cut, fresh, loose, mix, normal, only, words_of
 
 BITS = 256
-DISTANCE = 56
-#: A pair this far apart is found with a probability of ``RECALL`` at least; nearer ones more often.
-DESIGN, RECALL = 48, 0.95
+#: Fingerprints that differ in so many bits are near; a pair at that distance is found with a probability of ``RECALL`` at least.
+DISTANCE, RECALL = 56, 0.95
 #: Coordinates of a strip, most weight on it, and centres: of lists that are shuffled, and of the recursion within one.
 OUTER, INNER = (24, 4, 1300), (16, 3, 300)
-#: Lists up to this length are searched by brute force.
-LEAF = 2048
+#: Lists up to this length are searched by brute force; entries above which shuffled lists are filtered twice.
+LEAF, LONGEST = 2048, 1_000_000
 SEED = 77
-#: Bytes of packed list entries in one partition.
+#: Bytes of packed list entries in one partition, about.
 PART_BYTES = 24 << 20
-ENTRY = np.dtype([("key", "<u4"), ("id", "<i8"), ("fp", "<u8", (4,))])
+ENTRY = np.dtype([("key", "<u8"), ("id", "<i8"), ("fp", "<u8", (4,))])
+POINT = ("a", "b", "c", "d")
 
 
 # --------------------------------------------------------------------------- fingerprints
@@ -70,15 +75,19 @@ def fingerprints(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     key = key[np.concatenate([[True], key[1:] != key[:-1]])]
     owner = (key >> U64(48)).astype(np.int64)
     feature = key & U64((1 << 48) - 1)
-    hashed = np.stack([mix(feature + U64(c * 0x632BE59BD9B4E019 % (1 << 64))) for c in (1, 2, 3, 4)], axis=1)
     begin = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
     size = np.diff(np.concatenate([begin, [len(owner)]]))
     sums = np.zeros((len(begin), BITS), dtype=np.int32)
-    packed = hashed.view(np.uint8)
-    for row, (at, n) in enumerate(zip(begin.tolist(), size.tolist(), strict=True)):
-        for piece in range(at, at + n, 255):  # as many as a byte can count
-            bits = np.unpackbits(packed[piece : min(piece + 255, at + n)].ravel()).reshape(-1, BITS)
-            sums[row] += np.add.reduce(bits, axis=0, dtype=np.uint8)
+    rank = np.repeat(np.arange(len(begin)), size)
+    for low in range(0, len(feature), 255 << 12):  # long texts take several turns
+        part = feature[low : low + (255 << 12)]
+        packed = np.stack([mix(part + U64(c * 0x632BE59BD9B4E019 % (1 << 64))) for c in (1, 2, 3, 4)], axis=1).view(np.uint8)
+        of = rank[low : low + len(part)]
+        edges = np.flatnonzero(np.diff(of, prepend=-1, append=len(begin)))
+        for at, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            for piece in range(at, end, 255):  # as many as a byte can count
+                bits = np.unpackbits(packed[piece : min(piece + 255, end)].ravel()).reshape(-1, BITS)
+                sums[of[at]] += np.add.reduce(bits, axis=0, dtype=np.uint8)
     tie = np.add.reduceat(feature, begin)
     toss = np.unpackbits(np.stack([mix(tie + U64(c)) for c in (5, 6, 7, 8)], axis=1).view(np.uint8), axis=1)
     sign = np.where(2 * sums == size[:, None], toss, 2 * sums > size[:, None]).astype(np.uint8)
@@ -87,15 +96,14 @@ def fingerprints(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The columns before the last, which is the text, and its fingerprint in four."""
     for batch in batches:
-        ids, texts = batch.column(0), [normal(t) for t in batch.column(1).to_pylist()]
-        for begin, end in chunks([len(t) for t in texts], 1 << 19):
+        texts = [normal(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+        for begin, end in chunks([max(len(t), 9) for t in texts], 1 << 19):  # fewer than 2**16 texts
             fps, has = fingerprints(texts[begin:end])
             some = np.flatnonzero(has)
-            yield pa.record_batch(
-                [ids.take(pa.array(some + begin)), pa.FixedSizeBinaryArray.from_buffers(pa.binary(32), len(some), [None, pa.py_buffer(fps[some].tobytes())]).cast(pa.binary())],
-                names=["doc_id", "fp"],
-            )
+            kept = [batch.column(c).take(pa.array(some + begin)) for c in range(batch.num_columns - 1)]
+            yield pa.record_batch([*kept, *(pa.array(np.ascontiguousarray(fps[some, c]).view(np.int64)) for c in range(4))], names=[*batch.schema.names[:-1], *POINT])
 
 
 # --------------------------------------------------------------------------- the filters
@@ -127,7 +135,7 @@ def strip_and_centres(shape: tuple[int, int, int], *seed: int) -> tuple[np.ndarr
 
 
 @functools.cache
-def repetitions(shape: tuple[int, int, int], recall: float, distance: int = DESIGN) -> int:
+def repetitions(shape: tuple[int, int, int], recall: float, distance: int = DISTANCE) -> int:
     """How many strips find a pair at ``distance`` with probability ``recall``: by simulation."""
     length, weight, centres = shape
     rng = np.random.default_rng(SEED)
@@ -153,11 +161,14 @@ def components(fps: np.ndarray, distance: int, label: np.ndarray) -> np.ndarray:
     links = []
     for at in range(0, n, step):
         block = fps[at : at + step]
-        apart = np.bitwise_count(block[:, None, 0] ^ fps[None, at:, 0])
-        for w in (1, 2, 3):
-            apart = apart + np.bitwise_count(block[:, None, w] ^ fps[None, at:, w]).astype(np.uint16)
-        a, b = np.nonzero(apart <= distance)
+        # half of the bits rule most pairs out
+        half = np.bitwise_count(block[:, None, 0] ^ fps[None, at:, 0])
+        half += np.bitwise_count(block[:, None, 1] ^ fps[None, at:, 1])
+        a, b = np.nonzero(half <= distance)
         more = b > a
+        a, b = a[more], b[more]
+        rest = np.bitwise_count(block[a, 2] ^ fps[at + b, 2]) + np.bitwise_count(block[a, 3] ^ fps[at + b, 3])
+        more = rest.astype(np.int64) + half[a, b] <= distance
         if more.any():
             a, b = a[more] + at, b[more] + at
             label = spread(label, a, b)  # already now, so that large cliques need no list of all pairs
@@ -185,22 +196,25 @@ def spread(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         np.minimum.at(label, b, low)
 
 
-def search(fps: np.ndarray, distance: int = DISTANCE, leaf: int = LEAF, depth: int = 0) -> np.ndarray:
-    """For each row of a list the smallest row that it is linked to: recursion, then brute force."""
+def search(fps: np.ndarray, distance: int = DISTANCE, leaf: int = LEAF, depth: int = 0, key: int = 0) -> np.ndarray:
+    """For each row of a list the smallest row that it is linked to: recursion, then brute force.
+
+    ``key`` names the list: each has strips of its own, so that what one misses the others don't.
+    """
     label = np.arange(len(fps))
     if len(fps) <= leaf:
         return components(fps, distance, label)
-    for k in range(repetitions(INNER, 1 - (1 - RECALL) / 4)):
-        strip, centres = strip_and_centres(INNER, 1 + depth, k)
+    for k in range(repetitions(INNER, 1 - (1 - RECALL) / 2 ** (depth + 2), distance)):
+        strip, centres = strip_and_centres(INNER, 2, key, depth, k)
         rows, which = passes(strip_values(fps, strip), centres, INNER[1])
         order = np.argsort(which, kind="stable")
         rows = rows[order]
         cuts = np.flatnonzero(np.diff(which[order])) + 1
-        for part in np.split(rows, cuts) if len(rows) else ():
+        for nth, part in enumerate(np.split(rows, cuts) if len(rows) else ()):
             if len(part) < 2:
                 continue
             # a list that hardly shrank holds one cluster; filtering it again would not part it
-            found = components(fps[part], distance, np.arange(len(part))) if len(part) > len(fps) // 2 else search(fps[part], distance, leaf, depth + 1)
+            found = components(fps[part], distance, np.arange(len(part))) if len(part) > len(fps) // 2 else search(fps[part], distance, leaf, depth + 1, (key * 31 + k * INNER[2] + nth) % (1 << 63))
             own = np.flatnonzero(found != np.arange(len(part)))
             if len(own):
                 label = spread(label, part[own], part[found[own]])
@@ -210,22 +224,34 @@ def search(fps: np.ndarray, distance: int = DISTANCE, leaf: int = LEAF, depth: i
 # --------------------------------------------------------------------------- the search on Spark
 
 
-def _emit(trees: int, buckets: int):
+def _twice(rows: np.ndarray, keys: np.ndarray, other: np.ndarray, which: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each list of a row with each of its lists in another filter: (row, key of both). Rows come in order."""
+    count = np.bincount(other, minlength=n)
+    times = count[rows]
+    at = np.repeat((np.cumsum(count) - count)[rows] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+    return np.repeat(rows, times), mix(np.repeat(keys, times) + which[at].astype(U64))
+
+
+def _emit(trees: int, again: int, buckets: int):
     """Each fingerprint's list entries, packed by bucket: few rows for the shuffle, none of them wide."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = [strip_and_centres(OUTER, 0, k) for k in range(trees)]
+        more = [strip_and_centres(OUTER, 1, k) for k in range(again)]
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            fps = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=U64).reshape(-1, 4)
+            fps = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in (1, 2, 3, 4)], axis=1).view(U64)
+            second = [passes(strip_values(fps, strip), centres, OUTER[1]) for strip, centres in more]
             parts = []
             for k, (strip, centres) in enumerate(made):
                 rows, which = passes(strip_values(fps, strip), centres, OUTER[1])
-                entry = np.empty(len(rows), dtype=ENTRY)
-                entry["key"], entry["id"], entry["fp"] = which + k * OUTER[2], ids[rows], fps[rows]
-                parts.append(entry)
+                keys = mix((which + k * OUTER[2] + 1).astype(U64))
+                for r, found in [(rows, keys)] if not more else (_twice(rows, keys + U64(j * OUTER[2] + 1), *second[j], len(ids)) for j in range(again)):
+                    entry = np.empty(len(r), dtype=ENTRY)
+                    entry["key"], entry["id"], entry["fp"] = found, ids[r], fps[r]
+                    parts.append(entry)
             every = np.concatenate(parts)
-            bucket = (mix(every["key"].astype(U64)) % U64(buckets)).astype(np.int64)
+            bucket = (every["key"] % U64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             every, bucket = every[order], bucket[order]
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, np.int64)
@@ -249,7 +275,7 @@ def _lists(distance: int, leaf: int):
             if b - a > 1:
                 ids = every["id"][a:b]
                 order = np.argsort(ids)
-                found = search(np.ascontiguousarray(every["fp"][a:b][order]), distance, leaf)
+                found = search(np.ascontiguousarray(every["fp"][a:b][order]), distance, leaf, 0, int(every["key"][a] >> U64(1)))
                 own = np.flatnonzero(found != np.arange(b - a))
                 if len(own):
                     pairs.append(np.stack([ids[order][own], ids[order][found[own]]], axis=1))
@@ -269,11 +295,11 @@ def connected(links: DataFrame) -> DataFrame:
     while True:
         both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = both.join(loose(low, "a"), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # every node to the smallest neighbour of its smaller ones
         large = large.filter("a > b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*")
+        small = large.join(loose(least, "a"), "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*")
         links = cut(small.filter("a > b").distinct())
         now = links.agg(F.count(F.lit(1)), F.sum(F.col("b").cast("decimal(38,0)")), F.count_distinct("a")).first()
         if tuple(now) == seen and now[0] == now[2]:
@@ -281,26 +307,60 @@ def connected(links: DataFrame) -> DataFrame:
         seen = tuple(now)
 
 
+def linked(marks: DataFrame, distance: int = DISTANCE, leaf: int = LEAF, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
+    """Points (a, b, c, d, id), a row for each fingerprint, and links (a, b) of their ids, a > b."""
+    points = cut(marks.select(*POINT).distinct().withColumn("id", F.monotonically_increasing_id()))
+    n = points.count()
+    length, weight, centres = OUTER
+    share = sum(math.comb(length, i) for i in range(weight + 1)) / 2**length
+    levels = 1 if n * share <= longest else 2
+    times = repetitions(OUTER, 1 - (1 - RECALL) / 2 / levels, distance)
+    each = (times * centres * share) ** levels
+    buckets = max(1, math.ceil(n * each * ENTRY.itemsize / PART_BYTES))
+    lists = points.select("id", *POINT).repartition(buckets).mapInArrow(_emit(times, times if levels > 1 else 0, buckets), "bucket int, entries binary")
+    return points, lists.repartitionById(buckets, F.col("bucket")).select("entries").mapInArrow(_lists(distance, leaf), "a bigint, b bigint")
+
+
 def groups(docs: DataFrame, distance: int = DISTANCE, leaf: int = LEAF) -> DataFrame:
     """(doc_id, group_id) of the documents that have near duplicates; group_id is the smallest doc_id."""
     docs = only(docs, "doc_id", "text").filter("doc_id is not null and text is not null")
-    marks = cut(docs.mapInArrow(_fingerprint_rows, "doc_id bigint, fp binary"))
-    points = marks.groupBy("fp").agg(F.min("doc_id").alias("id"))
-    n = marks.count()
-    trees = repetitions(OUTER, RECALL)
-    length, weight, centres = OUTER
-    each = trees * centres * sum(math.comb(length, i) for i in range(weight + 1)) / 2**length
-    buckets = max(1, math.ceil(n * each * ENTRY.itemsize / PART_BYTES))
-    lists = points.select("id", "fp").mapInArrow(_emit(trees, buckets), "bucket int, entries binary")
-    links = lists.repartition(buckets, "bucket").select("entries").mapInArrow(_lists(distance, leaf), "a bigint, b bigint")
-    copies = marks.join(points, "fp").filter("doc_id > id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    found = connected(links.unionByName(copies))
-    roots = found.select(F.col("root").alias("node"), "root").distinct()
-    return found.unionByName(roots).select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"))
+    marks = cut(docs.mapInArrow(_fingerprint_rows, "doc_id bigint, a bigint, b bigint, c bigint, d bigint"))
+    points, links = linked(marks, distance, leaf)
+    members = cut(marks.join(loose(points, *POINT), [*POINT]).select("doc_id", "id"))
+    # rows of one document that differ
+    apart = members.groupBy("doc_id").agg(F.min("id").alias("b"), F.max("id").alias("top")).filter("b < top")
+    same = members.join(loose(apart, "doc_id"), "doc_id").filter("id > b").select(F.col("id").alias("a"), "b")
+    named = _named(members, connected(links.unionByName(same)))
+    first = named.groupBy("root").agg(F.min("doc_id").alias("group_id"), F.max("doc_id").alias("last")).filter("group_id < last").select("root", "group_id")
+    return named.join(loose(first, "root"), "root").select("doc_id", "group_id").distinct()
+
+
+def _named(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """``members`` with the root of their point."""
+    return members.join(loose(roots, "node", "root"), F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("id", "node")
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id, and all that are in none."""
-    name = fresh(docs.columns, "copy_id")
-    copies = groups(docs).filter("doc_id > group_id").select(F.col("doc_id").alias(name))
-    return docs.join(copies, docs["doc_id"] == copies[name], "left_anti")
+    """The rows of ``docs`` without near duplicates: of each group one stays, and all that are in none."""
+    x, y = F.xxhash64(docs["doc_id"], docs["text"]), F.xxhash64(F.lit(1), docs["text"], docs["doc_id"])
+    rows = docs.filter(docs["text"].isNotNull()).select(x.alias("x"), y.alias("y"), docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].alias("text"))
+    marks = cut(rows.mapInArrow(_fingerprint_rows, "x bigint, y bigint, doc_id bigint, a bigint, b bigint, c bigint, d bigint"))
+    points, links = linked(marks)
+    members = marks.join(loose(points, *POINT), [*POINT]).drop(*POINT)
+    named = cut(_named(members, connected(links)))
+    place = F.struct(F.isnull("doc_id").alias("nameless"), "doc_id", "x", "y")
+    best = named.groupBy("root").agg(F.min(place).alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("root", "best")
+    judged = cut(named.join(loose(best, "root"), "root").select("x", "y", (place > F.col("best")).alias("gone")))
+    gone = judged.filter("gone").select("x", "y").distinct()
+    again = cut(judged.filter("not gone").groupBy("x", "y").count().filter("count > 1").select("x", "y"))
+    names = [fresh(docs.columns, c) for c in ("copy_x", "copy_y")]
+
+    def without(keys: DataFrame, how: str) -> DataFrame:
+        side = loose(keys, "x", "y").select(F.col("x").alias(names[0]), F.col("y").alias(names[1]))
+        return docs.join(side, (x == side[names[0]]) & (y == side[names[1]]), how)
+
+    kept = without(gone, "left_anti")
+    if again.isEmpty():
+        return kept
+    one = without(again, "left_semi").withColumns({names[0]: x, names[1]: y}).dropDuplicates(names).drop(*names)
+    return without(gone.unionByName(again), "left_anti").unionByName(one)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+from statistics import NormalDist
 
 import numpy as np
 import pytest
@@ -46,6 +47,13 @@ def test_every_token_is_packed_once_and_no_window_overflows(spark):
     assert not {2000, 2001} & set(by_doc)
 
 
+def test_shards_are_even_whatever_the_ids(spark):
+    docs = spark.range(4000).selectExpr("CASE WHEN id % 2 = 0 THEN NULL WHEN id % 3 = 0 THEN 7 ELSE id END AS doc_id", "repeat('word ', 20) AS text")
+    sizes = [r["count"] for r in packing.packed(docs, shard=500).groupBy("shard").count().collect()]
+    assert len(sizes) == 8 and sum(sizes) == 4000 and max(sizes) - min(sizes) <= 8
+    assert packing.packed(docs.limit(0)).collect() == []
+
+
 def test_pieces_go_to_the_shortest_tier_and_gaps_are_filled():
     rows = packing.pack([(1, 10), (2, 7), (3, 4), (4, 3), (5, 2)], (4, 8, 16), 32)
     # the window of 16 has room for 6: the longest piece that fits is 4, then 2; that of 8 has room for 1
@@ -89,12 +97,29 @@ def test_the_order_changes_cost_but_not_the_result(spark):
     docs = spark.createDataFrame([(k, t) for k, t in enumerate([*BAD.values(), GOOD] * 4)], SCHEMA)
     order = quality_rules.order_rules(docs)
     assert {r[0] for r in order} == set(quality_rules.RULES)
-    assert [r[2] / r[1] for r in order] == sorted((r[2] / r[1] for r in order), reverse=True)
+    assert order[0][2] / order[0][1] >= order[1][2] / order[1][1] and all(r[1] > 0 for r in order)
     ways = [[r[0] for r in order], list(quality_rules.RULES), list(reversed(quality_rules.RULES))]
     assert len({tuple(sorted(r[0] for r in quality_rules.apply_rules(docs, way).collect())) for way in ways}) == 1
     assert quality_rules.apply_rules(docs.limit(0)).collect() == []
 
 
+def test_the_cascade_goes_by_what_the_rules_before_leave():
+    judged = [{"a": k < 6, "b": k < 5, "c": k in (6, 7), "d": False} for k in range(10)]
+    # b rejects less per second than a, and after a nothing more; c does
+    order = quality_rules.cascade({"a": 1.0, "b": 1.0, "c": 2.0, "d": 0.5}, judged)
+    assert [(r[0], r[2]) for r in order] == [("a", 0.6), ("c", 0.5), ("d", 0.0), ("b", 0.0)]
+    assert [r[0] for r in quality_rules.cascade({"a": 2.0, "b": 1.0}, [])] == ["b", "a"]
+
+
+@pytest.mark.parametrize(
+    ("name", "met", "beyond"),
+    [("exclamations", "word word word !", "word word !"), ("symbols", "#" * 7 + "a" * 93, "#" * 8 + "a" * 92), ("few_letters", "1234567abc", "12345678ab"), ("repetition", "same same other words here", "same same other words"), ("word_length", "a" * 25, "a" * 26)],
+)
+def test_thresholds_met_exactly_keep_a_text(spark, name, met, beyond):
+    hits = spark.createDataFrame([(0, met), (1, beyond)], "k int, text string").selectExpr("k", quality_rules.rule(name)).orderBy("k").collect()
+    assert [r[1] for r in hits] == [False, True]
+
+
 # --------------------------------------------------------------------------- URL rules
 
 
@@ -108,27 +133,53 @@ def url_rows():
     return rows
 
 
-def test_rules_are_the_minimal_combinations_of_the_plain_version(spark):
-    rows = url_rows()
-    frame = spark.createDataFrame(rows, "url string, bad boolean")
-    sets = [(frozenset(r[0]), r[1]) for r in frame.select(url_rules.tokens(frame["url"]), "bad").collect()]
-    support, confidence = 0.05, 0.7
+def plain_rules(sets, support, alpha):
+    n, bad = len(sets), sum(b for _, b in sets)
     every: dict[frozenset, list[int]] = {}
-    for items, bad in sets:
-        for n in range(1, len(items) + 1):
-            for c in itertools.combinations(sorted(items), n):
+    for items, b in sets:
+        for k in range(1, url_rules.WIDTH + 1):
+            for c in itertools.combinations(sorted(items), k):
                 x = every.setdefault(frozenset(c), [0, 0])
                 x[0] += 1
-                x[1] += bad
-    good = {c for c, (n, b) in every.items() if b / len(sets) >= support and b / n >= confidence}
-    minimal = {c for c in good if not any(o < c for o in good)}
-    rules = url_rules.mine(frame, support, confidence)
-    assert {frozenset(r["items"]) for r in rules.collect()} == minimal and minimal
+                x[1] += b
+    looked = {c: x for c, x in every.items() if x[1] / n >= support}
+    z = NormalDist().inv_cdf(1 - alpha / max(len(looked), 1))
+    share = bad / n
+    good = {c: b / m for c, (m, b) in looked.items() if b / m >= share and (b / m - share) / (share * (1 - share) / m) ** 0.5 > z}
+    return {c for c, x in good.items() if not any(o < c and good[o] >= x for o in good)}
+
+
+def test_rules_are_those_of_the_plain_version(spark):
+    rows = url_rows()
+    frame = spark.createDataFrame(rows, "url string, bad boolean")
+    sets = [(frozenset(r[0]), r[1]) for r in frame.select(url_rules.tokens(frame["url"]), "bad").collect()]
+    want_rules = plain_rules(sets, 0.05, 0.05)
+    rules = url_rules.mine(frame, 0.05, 0.05)
+    assert {frozenset(r["items"]) for r in rules.collect()} == want_rules and frozenset(["h:spam", "p:win"]) in want_rules
     pages = spark.createDataFrame([(k, u, 1, 2, 3) for k, (u, _) in enumerate(rows)] + [(None, rows[0][0], 1, 2, 3), (900, None, 1, 2, 3), (901, "", 1, 2, 3)], "page_id bigint, url string, row int, token int, n int")
     for limit in (url_rules.BROADCAST_ROWS, 0):
         got = {(r["page_id"], r["n_rules"]) for r in url_rules.match(pages, rules, limit).collect()}
-        want = {(k, m) for k, (items, _) in enumerate(sets) if (m := sum(c <= items for c in minimal))}
+        want = {(k, m) for k, (items, _) in enumerate(sets) if (m := sum(c <= items for c in want_rules))}
         assert {x for x in got if x[0] is not None} == want and not {900, 901} & {x[0] for x in got}
+        judged = url_rules.judge(pages, rules, limit).collect()
+        assert len(judged) == len(rows) + 3 and {(r["page_id"], r["n_rules"]) for r in judged if r["n_rules"]} == got
+
+
+def test_labels_that_say_nothing_give_no_rules(spark):
+    rng = random.Random(2)
+    rows = [(f"http://{rng.choice('abcdefgh')}.com/{rng.choice(['x', 'y', 'z'])}?q={rng.randrange(5)}", rng.random() < 0.24) for _ in range(3000)]
+    assert url_rules.mine(spark.createDataFrame(rows, "url string, bad boolean"), 0.001).collect() == []
+
+
+def test_pages_are_labelled_by_their_documents(spark):
+    pages = spark.createDataFrame(
+        [(0, "http://a.com/en/5", 1), (1, "http://a.com/en/6.html", 1), (2, "http://a.com/7/?page=2#top", 1), (3, "http://a.com/5", 1), (4, "http://a.com/x", 1), (5, None, 1), (6, "", 1), (7, "http://a.com/99", 1), (5, "http://a.com/8", 1), (9, "http://a.com/5", 1)],
+        "page_id bigint, url string, bad int",
+    )
+    labels = spark.createDataFrame([(5, 0, None, 1), (5, 1, 0, 1), (6, 1, 0, 1), (7, None, None, 1), (8, None, 1, 1), (None, 0, 1, 1)], "doc_id bigint, quality int, toxic int, own int")
+    got = sorted((r["url"], r["bad"]) for r in url_rules.labelled_pages(pages, labels).collect())
+    assert got == [("http://a.com/5", True), ("http://a.com/5", True), ("http://a.com/8", True), ("http://a.com/en/5", True), ("http://a.com/en/6.html", False)]
+    assert url_rules.labelled_pages(pages.limit(0), labels).collect() == [] and url_rules.labelled_pages(pages, labels.limit(0)).collect() == []
 
 
 def test_nothing_is_learnt_from_nothing(spark):
@@ -136,7 +187,8 @@ def test_nothing_is_learnt_from_nothing(spark):
     rules = url_rules.mine(none)
     pages = spark.createDataFrame([(1, "http://a.com/")], "page_id bigint, url string")
     assert rules.collect() == [] and url_rules.match(pages, rules).collect() == []
-    assert url_rules.match(pages.limit(0), url_rules.mine(spark.createDataFrame([("http://a.com/x", True)] * 9, "url string, bad boolean"))).collect() == []
+    assert url_rules.mine(spark.createDataFrame([("http://a.com/x", True)] * 9, "url string, bad boolean")).collect() == []
+    assert url_rules.judge(pages.limit(0), rules).collect() == []
 
 
 # --------------------------------------------------------------------------- language identification
@@ -168,6 +220,14 @@ def test_language_of_odd_texts(spark, identifier):
     assert language_id.accepted(docs.limit(0), identifier).collect() == []
 
 
+def test_of_languages_with_equal_probability_the_first_wins():
+    class Flat:
+        def scores(self, ids):
+            return np.zeros((len(ids), 2, ids.shape[1]), dtype=np.float32)
+
+    assert language_id.Identifier(["de", "en"], Flat()).identify(["abc"]) == [("de", 0.5, 3, 3)]
+
+
 def test_without_labels_all_are_rejected(spark):
     docs = spark.createDataFrame([(1, "text", None)], SCHEMA + ", lang string")
     assert language_id.stage(docs).collect() == [] and language_id.stage(docs.limit(0)).collect() == []
@@ -223,10 +283,38 @@ def test_spans_of_held_out_items(finder):
     assert sum(map(len, finder.spans([" ".join(words) * 3] * 20))) <= 2
 
 
-def test_windows_agree_with_the_whole(finder):
-    text = "words of text " * 400 + "write to anna.smith@mail7.example.com now " + "words of text " * 400
-    spans = finder.spans([text])[0]
-    assert any(text[s:e].startswith("anna") or "anna.smith" in text[s:e] for s, e, _ in spans)
+def test_windows_agree_with_the_whole(finder, monkeypatch):
+    rng = np.random.default_rng(7)
+    words = "plain words about some gardens and houses of people".split()
+    texts = []
+    for _ in range(6):
+        pieces = [w for k in range(700) for w in ([*(p for p, _ in pii.item(rng, words)[0]), " "] if k % 60 == 9 else [words[k % len(words)], " "])]
+        texts.append("".join(pieces))
+    cut = finder.spans(texts)
+    monkeypatch.setattr(pii, "CORE", 1 << 20)
+    whole = finder.spans(texts)
+    joined = {(k, *s) for k, spans in enumerate(cut) for s in spans} ^ {(k, *s) for k, spans in enumerate(whole) for s in spans}
+    assert sum(map(len, whole)) >= 50 and len(joined) <= 0.03 * sum(map(len, whole))
+
+
+def test_the_shortcut_skips_nothing_that_viterbi_tags():
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        out = rng.normal(size=(6, pii.TAGS, 60)).astype(np.float32)
+        out[:, 0] += 2.0
+        out[0, 1:] += rng.random() * 3
+        moves = rng.normal(size=(pii.TAGS, pii.TAGS)).astype(np.float32) * 2
+        network = type("Network", (), {"extra": [moves]})()
+        lengths = rng.integers(1, 7, 60)
+        open_, tags = pii.Finder(network)._decoded(out, lengths)  # noqa: SLF001
+        full = pii.viterbi(out, moves, lengths)
+        assert not np.delete(full, open_, axis=1).any() and (full[:, open_] == tags).all()
+
+
+def test_many_spans_are_reconciled_in_time():
+    spans = [(7 * k, 7 * k + 5 + k % 4, 1 + k % 3) for k in range(60_000)]
+    kept = pii.reconciled(spans)
+    assert all(a[1] <= b[0] for a, b in itertools.pairwise(kept)) and len(kept) >= 30_000
 
 
 def test_viterbi_is_the_best_of_all_paths():
@@ -246,5 +334,8 @@ def test_spans_are_reconciled():
 def test_odd_rows_have_no_spans(spark, finder):
     docs = spark.createDataFrame([(1, None, 1), (2, "", 1), (None, "mail bob@mail3.example.org ok", 1)], SCHEMA + ", kind int")
     got = pii.found_items(docs, finder).collect()
-    assert {r["doc_id"] for r in got} <= {None} and all(r["found"] in "mail bob@mail3.example.org ok" for r in got)
+    assert got and {r["doc_id"] for r in got} == {None} and all(r["found"] in "mail bob@mail3.example.org ok" for r in got)
     assert pii.found_items(docs.limit(0), finder).collect() == []
+    twice = spark.createDataFrame([(1, "write to bob@mail3.example.org ok", 0, 1, "x", "y")] * 2, SCHEMA + ", start int, end int, found string, kind string")
+    rows = [tuple(r) for r in pii.found_items(twice, finder).collect()]
+    assert rows and rows[: len(rows) // 2] == rows[len(rows) // 2 :] and twice.columns[2] == "start"

@@ -34,6 +34,18 @@ def test_lines_are_those_of_the_plain_version(spark):
     assert sorted(map(tuple, got), key=repr) == sorted(brute.line_dedup(rows), key=repr)
 
 
+def test_a_window_in_every_document_and_a_text_of_many_repeats(spark):
+    import time
+
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "concat(id, '\na\nb\nc\n', id * 3) AS text")
+    out = line_dedup.dedup_lines(docs)
+    assert sorted(r["doc_id"] for r in out.filter("n_removed = 0").collect()) == [0] and out.filter("n_removed = 3").count() == 19_999
+    long = spark.createDataFrame([(1, "\n".join(f"l{k % 1000}" for k in range(60_000)))], brute.SCHEMA)
+    began = time.monotonic()
+    assert [r["n_removed"] for r in line_dedup.dedup_lines(long).collect()] == [59_000]
+    assert time.monotonic() - began < 30
+
+
 def test_repeated_rows_are_one_document_and_other_columns_stay(spark):
     out = line_dedup.dedup_lines(widened(spark, [(1, "a\nb\nc"), (1, "a\nb\nc"), (2, "a\nb\nc\nd")]))
     assert out.columns == [*EXTRA.replace(" bigint", "").replace(" string", "").replace(" int", "").split(", "), "n_removed_"]
@@ -81,7 +93,7 @@ def test_recursion_finds_what_brute_force_finds(spark):
     base = rng.integers(0, 1 << 63, (1500, 4), dtype=np.uint64)
     near = base[:400].copy()
     for row in near:
-        for bit in rng.permutation(256)[: rng.integers(0, simhash_dedup.DESIGN)]:
+        for bit in rng.permutation(256)[: rng.integers(0, simhash_dedup.DISTANCE + 1)]:
             row[bit >> 6] ^= np.uint64(1) << np.uint64(bit & 63)
     label = simhash_dedup.search(np.concatenate([base, near]), leaf=128)
     assert (label[1500:] == np.arange(400)).mean() >= 0.9
@@ -92,17 +104,66 @@ def test_one_of_each_group_stays(spark):
     text = " ".join(brute.prose(3, 80))
     rows = [(4, text), (2, text), (9, text), (5, "something else than that"), (6, None), (None, text)]
     out = simhash_dedup.stage(widened(spark, rows))
-    assert sorted((r["doc_id"] for r in out.collect()), key=repr) == sorted([2, 5, 6, None], key=repr)
+    assert sorted((r["doc_id"] for r in out.collect()), key=repr) == sorted([2, 5, 6], key=repr)
     assert len(out.columns) == len(EXTRA.split(","))
 
 
+def test_of_equal_rows_one_stays(spark):
+    text, other = " ".join(brute.prose(3, 80)), " ".join(brute.prose(4, 80))
+    rows = [(1, text), (1, text), (2, text), (None, text), (None, other), (None, other), (3, None), (3, None), (4, ""), (5, "one"), (5, "two words")]
+    out = simhash_dedup.stage(widened(spark, rows))
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr) == sorted([(1, text), (None, other), (3, None), (3, None), (4, ""), (5, "one"), (5, "two words")], key=repr)
+    assert out.columns == widened(spark, rows).columns
+
+
+@pytest.mark.parametrize("longest", [simhash_dedup.LONGEST, 0])
+def test_recall_at_the_distance_is_that_aimed_at(spark, longest):
+    """Pairs exactly ``DISTANCE`` apart among other fingerprints; with lists filtered twice as well."""
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    n = 600 if longest else 60
+    base = rng.integers(0, 1 << 63, (n, 4), dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, (n, 4), dtype=np.uint64)
+    near = base.copy()
+    for row in near:
+        for bit in rng.permutation(256)[: simhash_dedup.DISTANCE]:
+            row[bit >> 6] ^= np.uint64(1) << np.uint64(bit & 63)
+    marks = spark.createDataFrame([tuple(int(x) for x in row.view(np.int64)) for row in np.concatenate([base, near])], "a bigint, b bigint, c bigint, d bigint")
+    points, links = simhash_dedup.linked(marks, longest=longest)
+    name = {r["id"]: tuple(r[c] for c in "abcd") for r in points.collect()}
+    got = {frozenset((name[r["a"]], name[r["b"]])) for r in links.collect()}
+    want = [frozenset((tuple(x.view(np.int64).tolist()), tuple(y.view(np.int64).tolist()))) for x, y in zip(base, near, strict=True)]
+    assert sum(w in got for w in want) >= (simhash_dedup.RECALL - 0.04) * n and len(got) <= n
+
+
+def test_long_lists_keep_the_recall():
+    """A list beyond ``LEAF``, by the recursion alone."""
+    import numpy as np
+
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 1 << 63, (5000, 4), dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, (5000, 4), dtype=np.uint64)
+    near = base[:800].copy()
+    for row in near:
+        for bit in rng.permutation(256)[: simhash_dedup.DISTANCE]:
+            row[bit >> 6] ^= np.uint64(1) << np.uint64(bit & 63)
+    label = simhash_dedup.search(np.concatenate([base, near]))
+    assert (label[5000:] == np.arange(800)).mean() >= 1 - (1 - simhash_dedup.RECALL) / 2 - 0.015 and (label[:5000] == np.arange(5000)).all()
+
+
+def test_one_text_in_a_third_of_all_rows(spark):
+    text = " ".join(brute.prose(3, 40))
+    docs = spark.range(9000).selectExpr("id AS doc_id", f"CASE WHEN id % 3 = 1 THEN '{text}' ELSE concat('row ', id, ' has ', id * 31, ' other ', id * 77, ' words') END AS text")
+    kept = simhash_dedup.stage(docs)
+    assert kept.filter(kept["text"] == text).count() == 1
+
+
 # --------------------------------------------------------------------------- decontamination
 
 
 def leak_tables():
     rng = random.Random(3)
     items = [(k, " ".join(brute.prose(1000 + k, rng.randrange(3, 40), 400))) for k in range(30)]
-    items += [(30, None), (31, ""), (None, items[4][1]), items[5], items[5]]
+    items += [(30, None), (31, ""), (None, items[4][1]), items[5], items[5], (32, "short one"), (33, "a")]
     docs = []
     for k in range(80):
         words = brute.prose(k, rng.randrange(0, 150), 400)
@@ -113,7 +174,7 @@ def leak_tables():
             at = rng.randrange(0, len(words) + 1)
             words[at:at] = [w.upper() + rng.choice(["", ",", "!"]) for w in passage]
         docs.append((k, " ".join(words)))
-    return [*docs, (90, None), (91, ""), (None, items[7][1]), docs[1], docs[1]], items
+    return [*docs, (90, None), (91, ""), (None, items[7][1]), docs[1], docs[1], (92, "Short, one!"), (93, "a short one"), (94, "a")], items
 
 
 @pytest.mark.parametrize("limit", [decontam.BROADCAST_BYTES, 0])
@@ -137,11 +198,13 @@ def test_every_choice_of_two_substitutions_is_found():
             assert [x[:2] for x in probe.hits(text)] == [(0, 0)]
 
 
-def test_stage_keeps_the_clean_and_the_nameless(spark):
+@pytest.mark.parametrize("limit", [decontam.BROADCAST_BYTES, 0])
+def test_stage_keeps_the_clean_with_or_without_an_id(spark, limit):
     docs, items = leak_tables()
-    bad = {d for d, _ in brute.leaks(docs, items)} - {None}
-    out = decontam.stage(widened(spark, docs), spark.createDataFrame(items, "item_id bigint, text string"))
+    bad = {d for d, _ in brute.leaks(docs, items)}
+    out = decontam.stage(widened(spark, docs), spark.createDataFrame(items, "item_id bigint, text string"), limit)
     assert sorted((r["doc_id"] for r in out.collect()), key=repr) == sorted((d for d, _ in docs if d not in bad), key=repr)
+    assert out.columns == widened(spark, docs).columns and None in bad
 
 
 # --------------------------------------------------------------------------- repeated passages
