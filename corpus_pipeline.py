@@ -4,8 +4,8 @@ Documents whose language isn't identified go; later occurrences of three-line wi
 texts; of near duplicates one document stays; documents that overlap the benchmark go; what is left
 is packed into context windows. All stages but the last return the columns of documents.
 
-A row without a doc_id passes the stages that name documents by it; texts that are null or empty go
-in the first stage. An empty table gives an empty result.
+Stages judge rows by their texts, with or without a doc_id: of rows that are equal one stays. Texts that
+are null or empty go in the first stage. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import decontam, language_id, line_dedup, packing, simhash_dedup
-from siltstone.llm.common import shared_dir, table
+from siltstone.llm.common import remove, shared_dir, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -56,9 +56,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn over the documents of ``sf_dir``; what lies between them is in the shared folder."""
+    """All stages in turn over the documents of ``sf_dir``; what lies between them is in the shared folder until the next is written."""
     docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, before)
+        before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
