@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-import os
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.errors import EngineError, invalid
+from siltstone.sources.files import Files
 
 TYPES = {"uuid": "string", "string": "string", "int": "bigint", "float": "double", "bool": "boolean", "timestamp": "timestamp", "document": "variant", "bytes": "binary", "vector": "array<float>"}
 
@@ -86,11 +86,10 @@ class Schema:
 class Catalog:
     """Schemas by name; kept in a JSON file if a path is given."""
 
-    def __init__(self, path: str | None = None):
-        self.path, self.schemas = path, {}
-        if path and os.path.exists(path):
-            with open(path) as f:
-                self.schemas = {s["name"]: load(s) for s in json.load(f)}
+    def __init__(self, path: str | None = None, files: Files | None = None):
+        self.path, self.files, self.schemas = path, files, {}
+        if path and (held := files.read(path)):
+            self.schemas = {s["name"]: load(s) for s in json.loads(held)}
 
     def create(self, schema: Schema) -> None:
         if schema.name in self.schemas:
@@ -113,9 +112,7 @@ class Catalog:
 
     def _save(self) -> None:
         if self.path:
-            with open(self.path + ".new", "w") as f:
-                json.dump([asdict(s) for s in self.schemas.values()], f)
-            os.replace(self.path + ".new", self.path)
+            self.files.replace(self.path, json.dumps([asdict(s) for s in self.schemas.values()]))
 
 
 def load(data: dict) -> Schema:

@@ -46,13 +46,19 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def restore(spark: SparkSession, path: str) -> tuple[list[Schema], dict[str, DataFrame]]:
-    """Schemas in order, and the records of each collection with the types that its schema declares."""
+    """Schemas in order, and the records of each collection with the types that its schema declares.
+
+    A dump of this module has a folder for each collection, and only that is read; of other folders of
+    lines all are.
+    """
     from siltstone.plans.catalog import TYPES
+    from siltstone.sources.files import Files
 
-    raw = lines(spark, path)
+    parts = {n for n, _, _ in Files(spark).names(path)}
     schemas = [load(json.loads(r[0])["schema"]) for r in spark.read.text(f"{path}/0-schemas").collect()]
     found = {}
-    for s in schemas:
+    for place, s in enumerate(schemas, 1):
+        raw = spark.read.text(f"{path}/{place}-records") if f"{place}-records" in parts else lines(spark, path)
         types = {f.name: TYPES[f.type] for f in s.fields} | {x.name: "string" if x.cardinality == "to_one" else "array<string>" for x in s.links}
         shape = "record struct<collection:string,fields:struct<" + ",".join(f"`{n}`:{t}" for n, t in types.items()) + ">>"
         found[s.name] = raw.select(F.from_json("value", shape).alias("x")).filter(F.col("x.record.collection") == s.name).select("x.record.fields.*")
@@ -60,7 +66,7 @@ def restore(spark: SparkSession, path: str) -> tuple[list[Schema], dict[str, Dat
 
 
 def verify(spark: SparkSession, path: str, keys: dict[str, str]) -> dict[str, DataFrame]:
-    """Counts of each collection, malformed lines, and keys that occur twice."""
+    """Counts of each collection, malformed lines, keys that occur twice, and records of collections without a schema."""
     raw = lines(spark, path).filter(F.length(F.trim("value")) > 0)
     collection = F.get_json_object("value", "$.record.collection")
     good = F.get_json_object("value", "$.schema.name").isNotNull() | collection.isNotNull()
@@ -72,6 +78,7 @@ def verify(spark: SparkSession, path: str, keys: dict[str, str]) -> dict[str, Da
         "counts": records.groupBy("collection").agg(F.count(F.lit(1)).alias("records")),
         "malformed": raw.filter(~F.coalesce(good, F.lit(False))),
         "duplicates": records.withColumn("key", key).filter("key is not null").groupBy("collection", "key").count().filter("count > 1"),
+        "without_schema": records.join(raw.select(F.get_json_object("value", "$.schema.name").alias("collection")).filter("collection is not null").distinct(), "collection", "left_anti").groupBy("collection").count(),
     }
 
 
@@ -81,11 +88,14 @@ def relevance(spark: SparkSession, path: str, kind: str) -> DataFrame:
     if kind == "qrels":
         if df.filter("query_id is null or doc_id is null or relevance is null").limit(1).count():
             raise EngineError("invalid_request", "a judgment lacks an id or grade")
-        return df
+        return df  # a judgment of something unknown is a warning of the evaluation
+    text = F.concat_ws("", "title", "body", "tags", "category") if kind == "corpus" else F.col("text")
     checks = df.agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"), F.count(F.nullif("id", F.lit(""))).alias("named"),
-        F.count("vector").alias("vectors"), F.count_distinct(F.size("vector")).alias("sizes"),
+        F.count("vector").alias("vectors"), F.count_distinct(F.size("vector")).alias("sizes"), F.count_if(F.trim(F.coalesce(text, F.lit(""))) == "").alias("blank"),
     ).first()
+    if checks["blank"]:
+        raise EngineError("invalid_request", "texts must not be empty")
     if checks["ids"] < checks["n"] or checks["named"] < checks["n"]:
         raise EngineError("invalid_request", "ids must be there, and differ")
     if checks["vectors"] not in (0, checks["n"]) or checks["vectors"] and checks["sizes"] > 1:
