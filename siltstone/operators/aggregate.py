@@ -9,14 +9,15 @@ from siltstone.errors import invalid
 from siltstone.operators import search
 from siltstone.plans.ir import Aggregate
 from siltstone.plans.predicates import Path, condition
+from siltstone.sources.text_index import TextIndex
 
 FACET, GROUP = 10, 1000
 
 
-def matched(df: DataFrame, q: Aggregate, key: str) -> DataFrame:
+def matched(df: DataFrame, q: Aggregate, key: str, index: TextIndex | None = None) -> DataFrame:
     rows = df.filter(condition(df, q.filter)) if q.filter else df
     if q.text_search:
-        rows = rows.join(search.candidates(df, key, q.text_search, scoped=True).select(key), key, "left_semi")
+        rows = rows.join(search.candidates(df, key, q.text_search, scoped=True, index=index).select(key), key, "left_semi")
     return rows
 
 
@@ -64,10 +65,13 @@ def groups(rows: DataFrame, name: str, wanted: list[dict], limit: int | None = N
     return made.orderBy(F.col("count").desc(), "key").limit(GROUP if limit is None else limit).crossJoin(F.broadcast(total))  # one row
 
 
-def aggregate(df: DataFrame, q: Aggregate, key: str) -> dict:
-    """The matched set once, and DataFrames of its metrics, facets and groups."""
-    rows = matched(df, q, key)
-    out: dict = {"matched": rows, "filter_present": q.filter is not None, "search_scoped": q.text_search is not None, "used_index": False}
+def aggregate(df: DataFrame, q: Aggregate, key: str, index: TextIndex | None = None) -> dict:
+    """The matched set once, and DataFrames of its metrics, facets and groups; ``counts`` has how many were scanned and matched."""
+    rows = matched(df, q, key, index)
+    out: dict = {
+        "counts": df.agg(F.count(F.lit(1)).alias("scanned")).crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("matched")))),  # one row each
+        "matched": rows, "filter_present": q.filter is not None, "search_scoped": q.text_search is not None, "used_index": False,
+    }
     if q.metrics and not q.group_by:
         out["metrics"] = metrics(rows, q.metrics)
     out["facets"] = {f["field"]: facet(rows, f["field"], f.get("limit")) for f in q.facets}

@@ -12,6 +12,7 @@ from siltstone.operators import hybrid, nearest, search
 from siltstone.plans.catalog import Link, Schema
 from siltstone.plans.ir import Find
 from siltstone.plans.predicates import Path, condition
+from siltstone.sources.text_index import TextIndex
 
 SCORES = ("score", "text_score", "vector_score")
 
@@ -26,17 +27,17 @@ def score_order(key: str) -> list[Column]:
     return [F.round("score", 9).desc(), F.col(key).asc()]
 
 
-def scores(df: DataFrame, q: Find, key: str, cells: nearest.Cells | None = None) -> DataFrame | None:
+def scores(df: DataFrame, q: Find, key: str, cells: nearest.Cells | None = None, indexes: dict[str, TextIndex] | None = None) -> DataFrame | None:
     """(key, score, text_score, vector_score) of a ranked query's candidates, from the whole collection."""
-    none = F.lit(None).cast("double")
+    none, indexes = F.lit(None).cast("double"), indexes or {}
     if q.text_search:
-        return search.candidates(df, key, q.text_search).select(key, "score", F.col("score").alias("text_score"), none.alias("vector_score"))
+        return search.candidates(df, key, q.text_search, index=indexes.get(q.text_search["field"])).select(key, "score", F.col("score").alias("text_score"), none.alias("vector_score"))
     if q.vector:
         v = q.vector
-        best = cells.nearest(df, key, v["field"], v["query"], v["k"], v.get("metric")) if cells else nearest.exact(df, key, v["field"], v["query"], v["k"], v.get("metric"))
+        best = cells.search(key, v["field"], v["query"], v["k"], v.get("metric")) if cells else nearest.exact(df, key, v["field"], v["query"], v["k"], v.get("metric"))
         return best.select(key, "score", none.alias("text_score"), F.col("score").alias("vector_score"))
     if q.hybrid:
-        return hybrid.fused(df, key, q.hybrid)
+        return hybrid.fused(df, key, q.hybrid, indexes.get(q.hybrid["text_field"]))
     return None
 
 
@@ -49,15 +50,54 @@ def seed_of(node: dict | None, schema: Schema | None) -> dict | None:
     return next((s for n in node["filters"] if (s := seed_of(n, schema))), None) if node["type"] == "and" else None
 
 
-def matched(df: DataFrame, q: Find, key: str, schema: Schema | None = None, cells: nearest.Cells | None = None) -> DataFrame:
+def by_index(node: dict | None, indexes: dict[str, TextIndex]) -> tuple[list[dict], dict | None]:
+    """(the ``contains_text`` conjuncts that a stored index answers, the rest of the filter)."""
+    if node is None:
+        return [], None
+    if node["type"] == "contains_text" and node["field"] in indexes and T.query_terms(node["query"]):
+        return [node], None
+    if node["type"] != "and":
+        return [], node
+    parts = [by_index(n, indexes) for n in node["filters"]]
+    rest = [r for _, r in parts if r is not None]
+    return [x for found, _ in parts for x in found], {"type": "and", "filters": rest} if rest else None
+
+
+def filtered(df: DataFrame, q: Find, key: str, indexes: dict[str, TextIndex] | None = None) -> DataFrame:
+    """The records that pass the filter; text conditions on indexed fields by their postings."""
+    texts, rest = by_index(q.filter, indexes or {})
+    rows = df.filter(condition(df, rest)) if rest else df
+    for node in texts:
+        rows = rows.join(search.indexed(indexes[node["field"]], node["query"], "term_frequency").select(key), key, "left_semi")
+    return rows
+
+
+def matched(df: DataFrame, q: Find, key: str, schema: Schema | None = None, cells: nearest.Cells | None = None, indexes: dict[str, TextIndex] | None = None) -> DataFrame:
     """Filtered records, with scores where the query ranks. Filters come after candidates: k nearest first, then the filter."""
-    found = scores(df, q, key, cells)
+    found = scores(df, q, key, cells, indexes)
     if found is None and not q.order_by and (seed := seed_of(q.filter, schema)):
-        found = search.term_frequency(df, key, seed["field"], seed["query"]).select(key, "score", F.col("score").alias("text_score"), F.lit(None).cast("double").alias("vector_score"))
-    rows = df.filter(condition(df, q.filter)) if q.filter else df
+        clause = {"field": seed["field"], "query": seed["query"], "rank": "term_frequency"}
+        found = search.candidates(df, key, clause, index=(indexes or {}).get(seed["field"])).select(key, "score", F.col("score").alias("text_score"), F.lit(None).cast("double").alias("vector_score"))
+    rows = filtered(df, q, key, indexes)
     return rows if found is None else rows.join(found, key)
 
 
+#: Rows of a page that are sent to every executor to pick their records; a longer page is joined by a shuffle.
+BROADCAST_PAGE = 10_000
+
+
+def best(df: DataFrame, q: Find, key: str, cells: nearest.Cells | None = None, indexes: dict[str, TextIndex] | None = None) -> DataFrame:
+    """The page of a ranked query with a limit: keys and scores are ordered and cut first, then records join."""
+    found = scores(df, q, key, cells, indexes)
+    if q.filter:
+        found = found.join(filtered(df, q, key, indexes).select(key), key, "left_semi")
+    top = page(found, q, key)
+    if q.projection == [] and not q.includes and not q.snippet:
+        return top
+    most = (q.offset or 0) + (q.limit if q.limit is not None else q.hybrid["top_k"])
+    return df.join(F.broadcast(top) if most <= BROADCAST_PAGE else top, key)
+
+
 def page(df: DataFrame, q: Find, key: str, start_rank: int = 0) -> DataFrame:
     """Ordered, cut to offset and limit, and ranked where there are scores."""
     ranked = "score" in df.columns and (q.ranked or not q.order_by)
@@ -112,8 +152,11 @@ def snippets(df: DataFrame, q: Find) -> DataFrame:
     return df
 
 
-def find(df: DataFrame, q: Find, key: str, schema: Schema | None = None, targets: dict | None = None, cells: nearest.Cells | None = None) -> DataFrame:
-    out = page(matched(df, q, key, schema, cells), q, key)
+def find(
+    df: DataFrame, q: Find, key: str, schema: Schema | None = None, targets: dict | None = None, cells: nearest.Cells | None = None, indexes: dict[str, TextIndex] | None = None
+) -> DataFrame:
+    short = q.ranked and (q.limit is not None or q.hybrid)
+    out = best(df, q, key, cells, indexes) if short else page(matched(df, q, key, schema, cells, indexes), q, key)
     for name in q.includes:
         link, target, target_key = (targets or {}).get(name) or (None, None, None)
         if link is None:

@@ -7,21 +7,27 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 from siltstone.operators import nearest, search
+from siltstone.sources.files import cut
+from siltstone.sources.text_index import TextIndex
 
 RRF = 60
 POOL = 4
 
 
-def fused(df: DataFrame, key: str, h: dict) -> DataFrame:
-    """(key, score, text_score, vector_score) of all texts that match and the nearest ``POOL * top_k`` vectors."""
+def fused(df: DataFrame, key: str, h: dict, index: TextIndex | None = None) -> DataFrame:
+    """(key, score, text_score, vector_score) of all texts that match and the nearest ``POOL * top_k`` vectors.
+
+    Both lists are read several times, and are written once: they are numbers only.
+    """
     analyzer = T.resolve(h.get("analyzer"))
     clause = {"field": h["text_field"], "query": h["text_query"], **{x: h[x] for x in ("operator", "k1", "b") if h.get(x) is not None}, "analyzer": analyzer}
-    text = search.candidates(df, key, clause).withColumnRenamed("score", "text_score")
+    text = cut(search.candidates(df, key, clause, index=index).withColumnRenamed("score", "text_score"))
     vector = nearest.exact(df, key, h["vector_field"], h["vector"], POOL * h["top_k"], h.get("metric")).withColumnRenamed("score", "vector_score")
+    if h.get("fusion", "weighted_sum") == "weighted_sum":
+        vector = cut(vector)
     weights = h.get("weights") or {}
     wt, wv = float(weights.get("text", 0.5)), float(weights.get("vector", 0.5))
     if h.get("fusion", "weighted_sum") == "reciprocal_rank_fusion":
-        # ranks of the text list within score classes first, so that no window takes the whole list
         text = ranked(text, key, "text_score", "text_rank")
         vector = vector.withColumn("vector_rank", F.row_number().over(Window.orderBy(F.round("vector_score", 9).desc(), key)))
         both = text.join(vector, key, "full_outer")
@@ -38,13 +44,21 @@ def fused(df: DataFrame, key: str, h: dict) -> DataFrame:
 
 
 def ranked(df: DataFrame, key: str, score: str, name: str) -> DataFrame:
-    """``df`` with the rank by score, ties by key: counted per score class, then within the class.
+    """``df`` with the rank by score, ties by key: a sort by ranges, no task ranks more than its own."""
+    return numbered(df.orderBy(F.round(score, 9).desc(), key).withColumn("place", F.monotonically_increasing_id()), "place", name)
+
+
+def numbered(df: DataFrame, place: str, name: str) -> DataFrame:
+    """``df``, whose rows have their place (by partition and row) in a column, with their numbers from 1 instead.
 
-    The classes (scores to 9 digits) are summed up in a table of distinct scores; only that table
-    is numbered in one task.
+    The driver only adds up how many rows the partitions before have.
     """
-    level = F.round(F.col(score), 9)
-    classes = df.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("size"))
-    before = F.coalesce(F.sum("size").over(Window.orderBy(F.col("level").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    within = F.row_number().over(Window.partitionBy("level").orderBy(key))
-    return df.withColumn("level", level).join(classes.select("level", before.alias("before")), "level").withColumn(name, (F.col("before") + within).cast("bigint")).drop("level", "before")
+    placed, part = cut(df), F.shiftright(place, 33)
+    before, total = [], 0
+    for k, n in sorted(placed.groupBy(part.alias("part")).count().collect()):
+        before.append((k, total))
+        total += n
+    starts = df.sparkSession.createDataFrame(before, "part bigint, before bigint")
+    within = F.col(place).bitwiseAND((1 << 33) - 1) + 1
+    joined = placed.withColumn("part", part).join(F.broadcast(starts), "part")  # a row for each partition
+    return joined.withColumn(name, (F.col("before") + within).cast("bigint")).drop("part", "before", place)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import base64
+import json
+import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,27 +13,47 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltstone.errors import EngineError, invalid
-from siltstone.functions.vectors import metric_of, similarity
+from siltstone.functions.vectors import metric_of
+from siltstone.sources.files import Files, shared_dir, version_of
 
 #: Fewer vectors than this are always searched exactly.
 ANN_LEAST = 16
 #: Cells are probed until at most ``MISSED`` of the sampled queries have less than ``RECALL`` of their exact neighbours.
 RECALL, MISSED = 0.9, 0.01
+#: Vectors on which the probes are measured, and cells, at most.
+SAMPLE, MOST = 4000, 4096
 #: Vectors in a block of a search in which every row is a query.
 BLOCK = 2048
 
 
-def scored(df: DataFrame, key: str, column: str, query: list[float], metric: str | None = None) -> DataFrame:
-    """(key, score) of all vectors as long as the query."""
-    vector = F.col(column)
-    return df.filter(F.size(vector) == len(query)).select(key, similarity(vector, query, metric_of(metric)).alias("score"))
+def exact(df: DataFrame, key: str, column: str, query: list[float], k: int, metric: str | None = None) -> DataFrame:
+    """(key, score) of the best ``k`` vectors as long as the query, ties by key.
 
+    Arrow batches are scored as matrix products; a task hands on its best ``k`` only.
+    """
+    name, asked, size = metric_of(metric), np.array([query], dtype=np.float64), len(query)
 
-def exact(df: DataFrame, key: str, column: str, query: list[float], k: int, metric: str | None = None) -> DataFrame:
-    """The best ``k``, ties by key: a heap in each task, then one of all."""
-    return scored(df, key, column, query, metric).orderBy(F.round("score", 9).desc(), key).limit(k)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for rows in batches:
+            if not rows.num_rows:
+                continue
+            score = _similarities(rows.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, size).astype(np.float64), asked, name)[:, 0]
+            own = pa.table([rows.column(0), pa.array(score), pa.array(np.round(score, 9) + 0.0)], names=["key", "score", "level"])
+            if len(score) > k:  # all that may be among the best, ties included
+                least = np.partition(score, len(score) - k)[len(score) - k] if k else np.inf
+                own = own.filter(pa.array(score >= least - 2e-9))
+            held = own if held is None else pa.concat_tables([held, own])
+            held = held.take(pc.sort_indices(held, sort_keys=[("level", "descending"), ("key", "ascending")])[:k])
+        if held is not None:
+            yield from pa.table([held.column("key"), held.column("score")], names=[key, "score"]).to_batches()
+
+    shape = T.StructType([df.schema[key], T.StructField("score", T.DoubleType())])
+    best = df.filter(F.size(column) == size).select(key, column).mapInArrow(run, shape)
+    return best.orderBy(F.round("score", 9).desc(), key).limit(k)
 
 
 def check_dimension(query: list[float], dim: int | None) -> None:
@@ -65,7 +89,7 @@ def batch(df: DataFrame, key: str, column: str, queries: dict[int, list[float]],
 
     best = df.filter(F.size(column) == wanted.value.shape[1]).select(key, column).mapInArrow(run, f"query_id bigint, {key} bigint, score double")
     order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), key)
-    return best.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
+    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def _blocks(size: int):
@@ -94,8 +118,8 @@ def _blocks(size: int):
     return run
 
 
-def every(df: DataFrame, key: str, column: str, k: int, metric: str | None = None, block: int = BLOCK) -> DataFrame:
-    """(query_id, key, score, rank): the best ``k`` for every row as a query, itself among them.
+def every(df: DataFrame, key: str, column: str, k: int, metric: str | None = None, block: int = BLOCK, queries: DataFrame | None = None) -> DataFrame:
+    """(query_id, key, score, rank): the best ``k`` for every row of ``queries`` (by default of all rows) as a query.
 
     Blocks of queries meet blocks of vectors, one matrix product each, of which the best ``k`` of each query
     are kept; nothing goes through the driver. Vectors only meet those as long as they are; rows without a
@@ -120,15 +144,17 @@ def every(df: DataFrame, key: str, column: str, k: int, metric: str | None = Non
                 kept = np.arange(len(q)) - np.searchsorted(q, q) < k
                 yield pa.record_batch([pa.array(ids[q[kept]]), pa.array(keys[v[kept]]), pa.array(found[kept])], names=["query_id", key, "score"])
 
-    usable = df.filter(F.col(key).isNotNull() & (F.size(column) > 0)).select(key, column)
+    def packed(rows: DataFrame) -> DataFrame:
+        return rows.filter(F.col(key).isNotNull() & (F.size(column) > 0)).select(key, column).mapInArrow(_blocks(block), "dim int, keys binary, vectors binary")
+
     # few partitions, so that blocks are full and each is sent to few tasks
     parts = max(1, int(spark.sparkContext.defaultParallelism))
-    blocks = usable.mapInArrow(_blocks(block), "dim int, keys binary, vectors binary")
-    left = blocks.toDF("dim", "ids", "asked").repartition(parts)
+    blocks = packed(df)
+    left = (blocks if queries is None else packed(queries)).toDF("dim", "ids", "asked").repartition(parts)
     pairs = left.crossJoin(blocks.withColumnRenamed("dim", "other").repartition(parts))
     best = pairs.mapInArrow(run, f"query_id bigint, {key} bigint, score double")
     order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), key)
-    return best.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
+    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def mode(asked: dict | None, vectors: int) -> str:
@@ -143,13 +169,19 @@ def mode(asked: dict | None, vectors: int) -> str:
 
 
 class Cells:
-    """An inverted-file index: centres of a bounded sample of the vectors; each vector belongs to its nearest."""
+    """An inverted-file index: centres of a bounded sample of the vectors; each vector belongs to its nearest.
+
+    There are about as many cells as the root of the number of vectors. The vectors are stored by cell, so
+    that a search reads the files of the cells that it probes; all of them are indexed.
+    """
 
-    def __init__(self, df: DataFrame, column: str, cells: int = 32, sample: int = 4000, seed: int = 4):
+    def __init__(self, df: DataFrame, column: str, cells: int | None = None, sample: int = SAMPLE, seed: int = 4):
         n = df.count()
+        cells = cells or max(32, min(MOST, math.isqrt(n)))
+        sample = max(sample, 32 * cells)
         rows = df.select(column).filter(F.col(column).isNotNull()).sample(fraction=min(1.0, 1.2 * sample / max(n, 1)), seed=seed).limit(sample).collect()
         points = np.array([r[0] for r in rows], dtype=np.float64)
-        self.points, self.measured = points.copy(), {}
+        self.points, self.measured = points[:SAMPLE].copy(), {}
         points /= np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-12)
         rng = np.random.default_rng(seed)
         self.centres = points[rng.permutation(len(points))[: min(cells, len(points))]]
@@ -159,6 +191,31 @@ class Cells:
                 if (own == c).any():
                     mean = points[own == c].mean(0)
                     self.centres[c] = mean / max(np.linalg.norm(mean), 1e-12)
+        self.stored: DataFrame | None = None
+
+    @classmethod
+    def opened(cls, df: DataFrame, key: str, column: str, folder: str | None = None) -> Cells:
+        """The cells of a column with its vectors stored by cell: those kept for this content, or made and kept now."""
+        spark, version = df.sparkSession, version_of(df.select(key, column))
+        path, files = f"{folder or shared_dir(spark) + '/cells'}/{version or uuid.uuid4().hex}-{column}", Files(spark)
+        held = files.read(f"{path}/manifest.json") if version else None
+        if held is not None:
+            m = json.loads(held)
+            cells = cls.__new__(cls)
+            cells.centres, cells.points = (np.frombuffer(base64.b64decode(m[x]), dtype=np.float64).reshape(-1, m["dim"]).copy() for x in ("centres", "points"))
+            cells.measured = {}
+        else:
+            cells = cls(df, column)
+            usable = df.select(key, column).filter(F.size(column) == cells.centres.shape[1]) if len(cells.centres) else df.select(key, column).limit(0)
+            cells.assigned(usable, column).repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/vectors")
+            packed = {x: base64.b64encode(np.ascontiguousarray(getattr(cells, x)).tobytes()).decode() for x in ("centres", "points")}
+            files.replace(f"{path}/manifest.json", json.dumps(packed | {"dim": int(cells.centres.shape[-1])}))
+        cells.stored = spark.read.schema(T.StructType([df.schema[key], df.schema[column], T.StructField("cell", T.IntegerType())])).parquet(f"{path}/vectors")
+        return cells
+
+    def search(self, key: str, column: str, query: list[float], k: int, metric: str | None = None) -> DataFrame:
+        """The best ``k`` of the stored vectors, as far as they are in the cells that are probed; scored exactly."""
+        return self.nearest(self.stored, key, column, query, k, metric)
 
     def assigned(self, df: DataFrame, column: str) -> DataFrame:
         """``df`` with the cell of each vector, by which a table can be partitioned."""
