@@ -5,7 +5,6 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-import __spark_entry__ as entry
 from siltstone.operators import nearest
 
 
@@ -37,12 +36,23 @@ def test_every_row_is_a_query(spark, metric):
     assert len({r["query_id"] for r in got}) == len(rows)
 
 
-def test_the_query_asks_for_every_row_and_holds_the_batch(spark, small):
-    queries = entry.queries()
-    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in queries["knn_batch_every"](spark, small).collect()}
-    assert {q for q, _ in got} == {r[0] for r in spark.read.parquet(f"{small}/embeddings.parquet").select("vec_id").collect()}
-    for r in queries["knn_batch"](spark, small).collect():
-        assert got[r["query_id"], r["rank"]] == (r["vec_id"], pytest.approx(r["score"], abs=2e-6))
+def test_a_query_set_meets_all_rows(spark):
+    rows = vectors(60, 5, 3)
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = nearest.every(df, "vec_id", "embedding", 10, block=16, queries=df.filter("vec_id % 20 = 0")).collect()
+    assert {(r["query_id"], r["vec_id"], r["rank"]) for r in got} == {x for x in plain(rows, 10, "cosine") if x[0] % 20 == 0}
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2", "dot_product"])
+@pytest.mark.parametrize("k", [1, 10, 500])
+def test_one_query_gets_the_best_of_all_partitions(spark, metric, k):
+    rows = [*vectors(90, 6, 1), *((2000 + i, vectors(90, 6, 1)[5][1]) for i in range(14))]
+    df = spark.createDataFrame([*rows, (3000, None), (3001, [1.0])], "vec_id bigint, embedding array<double>").repartition(7)
+    got = [r["vec_id"] for r in nearest.exact(df, "vec_id", "embedding", rows[5][1], k, metric).collect()]
+    assert got == [key for _, key, _ in sorted((x for x in plain(rows, k, metric) if x[0] == rows[5][0]), key=lambda x: x[2])]
+    if metric != "dot_product" and k == 10:  # keys of any type
+        named = df.select(df["vec_id"].cast("string").alias("name"), "embedding")
+        assert [r[0] for r in nearest.exact(named, "name", "embedding", rows[5][1], 3, metric).collect()] == ["15", "2000", "2001"]
 
 
 @pytest.mark.parametrize("metric", ["cosine", "l2", "dot_product"])
