@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.errors import EngineError, invalid
+from siltstone.metrics import Metrics
 from siltstone.operators import aggregate, find, hybrid, nearest, profile, search, versions
 from siltstone.plans import cursor, explain, ir
 from siltstone.plans.catalog import Catalog, FieldDef, Link, Schema
@@ -47,7 +48,7 @@ class Engine:
         self.active: list[Transaction] = []
         self.cells: dict[tuple[str, str], nearest.Cells] = {}
         self.texts: dict[tuple[str, str], tuple[int | None, TextIndex]] = {}
-        self.cursors = Cursors(idle_timeout_s)
+        self.cursors, self.metrics = Cursors(idle_timeout_s), Metrics()
 
     # ------------------------------------------------------------------ collections
 
@@ -158,7 +159,8 @@ class Engine:
         """Whatever the request asks for: a DataFrame, a number, a truth value, or a dict of DataFrames."""
         q = ir.read_request(data)
         run = {ir.Find: self.find, ir.Count: self.count, ir.Exists: self.exists, ir.Aggregate: self.aggregate, ir.SearchPage: self.search_page}[type(q)]
-        return run(q, txn=txn)
+        with self.metrics.timed(type(q).__name__.lower()):
+            return run(q, txn=txn)
 
     def get(self, name: str, record_id, as_of: int | None = None, txn: Transaction | None = None) -> Row | None:
         """One record by its id: the latest, as of a time, or as a transaction sees it."""
@@ -341,13 +343,16 @@ class Engine:
 
     def apply(self, data: dict) -> dict:
         """One mutation as a transaction of its own."""
-        txn = self.begin()
-        try:
-            result = self.stage(txn, data, strict=True)
-            self.commit(txn)
-        finally:
-            self.rollback(txn)
-        return result
+        with self.metrics.timed(str(data.get("mutation"))):
+            txn = self.begin()
+            try:
+                result = self.stage(txn, data, strict=True)
+                self.commit(txn)
+            finally:
+                self.rollback(txn)
+            for name in ("inserted", "updated", "deleted"):
+                self.metrics.add(f"records_{name}", result[name])
+            return result
 
     def _records(self, m: ir.Mutation, schema: Schema) -> DataFrame:
         empty, _ = Engine.frame(self, m.collection, as_of=-1)

@@ -388,3 +388,24 @@ def test_scores_order_a_seeded_filter_unless_an_order_is_given(engine):
     text = {"type": "contains_text", "field": "body", "query": "pear"}
     assert [r["id"] for r in find(engine, filter=text)] == ["d3", "d2", "d1"]
     assert [r["id"] for r in find(engine, filter=text, order_by=[{"field": "views"}])] == ["d1", "d2", "d3"]
+
+
+def test_requests_are_counted_and_timed(engine):
+    engine.request({"query": "count", "collection": "Doc"})
+    assert code(lambda: engine.apply(insert(doc(1)))) == "unique_violation"
+    seen = engine.metrics.as_dict()
+    assert seen["counters"]["records_inserted"] == 6 and seen["counters"]["bulk_insert_errors"] == 1 and seen["requests"]["count"]["count"] == 1 and seen["requests"]["bulk_insert"]["count"] == 3
+    text = engine.metrics.prometheus()
+    assert "siltstone_records_inserted_total 6\n" in text and 'siltstone_request_seconds_bucket{kind="count",le="+Inf"} 1\n' in text
+
+
+def test_plans_from_the_command_line(spark, tmp_path, capsys):
+    import json
+
+    from siltstone.plans import explain
+
+    spark.range(5).write.parquet(str(tmp_path / "n"))
+    (tmp_path / "q.json").write_text(json.dumps({"query": "find", "collection": "n", "filter": eq("id", 3)}))
+    assert explain.main([str(tmp_path / "q.json"), str(tmp_path / "n"), "id", "--analyze"]) == 0
+    out = json.loads(capsys.readouterr().out)
+    assert out["plan"]["input"]["node"] == "PointLookup" and (out["scanned"], out["matched"], out["returned"]) == (5, 1, 1)
