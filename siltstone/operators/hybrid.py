@@ -12,19 +12,18 @@ from siltstone.sources.text_index import TextIndex
 
 RRF = 60
 POOL = 4
+#: Vectors of a pool that go through the driver.
+FEW = 10_000
 
 
 def fused(df: DataFrame, key: str, h: dict, index: TextIndex | None = None) -> DataFrame:
-    """(key, score, text_score, vector_score) of all texts that match and the nearest ``POOL * top_k`` vectors.
-
-    Both lists are read several times, and are written once: they are numbers only.
-    """
+    """(key, score, text_score, vector_score) of all texts that match and the nearest ``POOL * top_k`` vectors."""
     analyzer = T.resolve(h.get("analyzer"))
     clause = {"field": h["text_field"], "query": h["text_query"], **{x: h[x] for x in ("operator", "k1", "b") if h.get(x) is not None}, "analyzer": analyzer}
-    text = cut(search.candidates(df, key, clause, index=index).withColumnRenamed("score", "text_score"))
+    text = search.candidates(df, key, clause, index=index).withColumnRenamed("score", "text_score")
     vector = nearest.exact(df, key, h["vector_field"], h["vector"], POOL * h["top_k"], h.get("metric")).withColumnRenamed("score", "vector_score")
-    if h.get("fusion", "weighted_sum") == "weighted_sum":
-        vector = cut(vector)
+    if POOL * h["top_k"] <= FEW:  # a list of known length, that is read several times
+        vector = df.sparkSession.createDataFrame(vector.collect(), vector.schema)
     weights = h.get("weights") or {}
     wt, wv = float(weights.get("text", 0.5)), float(weights.get("vector", 0.5))
     if h.get("fusion", "weighted_sum") == "reciprocal_rank_fusion":
@@ -54,11 +53,11 @@ def numbered(df: DataFrame, place: str, name: str) -> DataFrame:
     The driver only adds up how many rows the partitions before have.
     """
     placed, part = cut(df), F.shiftright(place, 33)
+    sizes = dict(placed.groupBy(part.alias("part")).count().collect())
     before, total = [], 0
-    for k, n in sorted(placed.groupBy(part.alias("part")).count().collect()):
-        before.append((k, total))
-        total += n
-    starts = df.sparkSession.createDataFrame(before, "part bigint, before bigint")
+    for k in range(max(sizes, default=-1) + 1):
+        before.append(total)
+        total += sizes.get(k, 0)
     within = F.col(place).bitwiseAND((1 << 33) - 1) + 1
-    joined = placed.withColumn("part", part).join(F.broadcast(starts), "part")  # a row for each partition
-    return joined.withColumn(name, (F.col("before") + within).cast("bigint")).drop("part", "before", place)
+    offset = F.get(F.array(*[F.lit(n).cast("bigint") for n in before]) if before else F.array().cast("array<bigint>"), part.cast("int"))
+    return placed.withColumn(name, (offset + within).cast("bigint")).drop(place)

@@ -203,13 +203,14 @@ class Cells:
             m = json.loads(held)
             cells = cls.__new__(cls)
             cells.centres, cells.points = (np.frombuffer(base64.b64decode(m[x]), dtype=np.float64).reshape(-1, m["dim"]).copy() for x in ("centres", "points"))
-            cells.measured = {}
+            cells.measured = {(k, name): n for k, name, n in json.loads(files.read(f"{path}/measured.json") or "[]")}
         else:
             cells = cls(df, column)
             usable = df.select(key, column).filter(F.size(column) == cells.centres.shape[1]) if len(cells.centres) else df.select(key, column).limit(0)
             cells.assigned(usable, column).repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/vectors")
             packed = {x: base64.b64encode(np.ascontiguousarray(getattr(cells, x)).tobytes()).decode() for x in ("centres", "points")}
             files.replace(f"{path}/manifest.json", json.dumps(packed | {"dim": int(cells.centres.shape[-1])}))
+        cells.path = path
         cells.stored = spark.read.schema(T.StructType([df.schema[key], df.schema[column], T.StructField("cell", T.IntegerType())])).parquet(f"{path}/vectors")
         return cells
 
@@ -250,6 +251,8 @@ class Cells:
                 needed = np.sort(probe, axis=1)[:, max(1, int(np.ceil(RECALL * n - 1e-9))) - 1]
                 short += (needed[:, None] > np.arange(cells)).sum(0)
             self.measured[k, name] = int(np.argmax(short <= MISSED * len(asked))) + 1
+            if self.stored is not None:
+                Files(self.stored.sparkSession).replace(f"{self.path}/measured.json", json.dumps([[*at, n] for at, n in self.measured.items()]))
         return self.measured[k, name]
 
     def near(self, query: list[float], k: int, metric: str | None = None, probes: int | None = None) -> list[int]:

@@ -56,9 +56,10 @@ class Path:
             names = {"number": ("BIGINT", "DOUBLE", "FLOAT"), "text": ("STRING",), "bool": ("BOOLEAN",)}.get(kind)
             if names is None:
                 return None
-            shape = F.schema_of_variant(self.column)
-            fits = shape.isin(*names) | (shape.startswith("DECIMAL") if kind == "number" else F.lit(False))
-            return F.when(fits, F.try_variant_get(self.variant, self.pointer, {"number": "double", "text": "string", "bool": "boolean"}[kind]))
+            like = "^(" + "|".join(names) + (r"|DECIMAL\(.*" if kind == "number" else "") + ")$"
+            # within an array of one the document is parsed once, for its type and its value
+            fits = F.filter(F.array(self.column), lambda v: F.schema_of_variant(v).rlike(like))
+            return F.try_variant_get(F.get(fits, F.lit(0)), "$", {"number": "double", "text": "string", "bool": "boolean"}[kind])
         if self.kind == kind:
             return self.column
         if (self.kind, kind) == ("time", "number"):

@@ -83,3 +83,10 @@ def version_of(df: DataFrame) -> str | None:
     plan = re.sub(r"#\d+L?", "", df._jdf.queryExecution().optimizedPlan().toString())  # noqa: SLF001
     state = [(folder, [x for x in files.names(folder) if x[0] in own]) for folder in read]
     return hashlib.blake2b(repr((df.columns, plan, state)).encode(), digest_size=12).hexdigest()
+
+
+def size_of(df: DataFrame) -> int:
+    """Bytes of the files that are read; 0 without files."""
+    files, read = Files(df.sparkSession), df.inputFiles()
+    own = {f.rpartition("/")[2] for f in read}
+    return sum(n for folder in {f.rpartition("/")[0] for f in read} for name, n, _ in files.names(folder) if name in own)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
-from siltstone.sources.files import Files, cut, shared_dir, version_of
+from siltstone.sources.files import Files, cut, shared_dir, size_of, version_of
 
 #: Changed whenever terms or tables are made in another way.
 FORMAT = 1
@@ -59,8 +59,15 @@ class TextIndex:
         Files(self.spark).remove(self.path)
 
 
+#: Bytes of files up to which texts are dealt to all cores before they are split: small tables often are one row group.
+SMALL = 256 << 20
+
+
 def counted(df: DataFrame, key: str, column: str) -> DataFrame:
     """(term, key, tf, dl) of texts: the default analyzer's tokens, one pass over the texts."""
+    df = df.select(key, column)
+    if 0 < size_of(df) <= SMALL:
+        df = df.repartition(df.sparkSession.sparkContext.defaultParallelism)
     split = df.select(key, T.tokens(F.col(column)).alias("own"))
     return split.select(key, F.size("own").alias("dl"), F.explode("own").alias("term")).groupBy("term", key, "dl").agg(F.count(F.lit(1)).alias("tf")).select("term", key, "tf", "dl")
 
