@@ -179,7 +179,7 @@ class Engine:
         if q.vector:
             declared = schema.field(q.vector["field"])
             nearest.check_dimension(q.vector["query"], declared.dim if declared else None)
-            if q.vector_ann is not None and nearest.mode(q.vector_ann, df.count()) == "ann_preview":
+            if q.vector_ann is not None and nearest.mode(q.vector_ann, df.filter(F.col(q.vector["field"]).isNotNull()).count()) == "ann_preview":
                 place = (q.collection, q.vector["field"])
                 latest = as_of is None and txn is None
                 if place not in self.cells or not latest:

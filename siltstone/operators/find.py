@@ -162,4 +162,6 @@ def find(
         if link is None:
             raise invalid(f"no link '{name}'")
         out = include(out, link, target, target_key, key)
+    if short or q.includes:  # joins don't keep the order; these are the rows of the page
+        out = out.orderBy("rank") if "rank" in out.columns else out.orderBy(*order(out, q.order_by, key))
     return project(snippets(out, q), q, key)

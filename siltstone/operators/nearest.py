@@ -180,6 +180,8 @@ class Cells:
         cells = cells or max(32, min(MOST, math.isqrt(n)))
         sample = max(sample, 32 * cells)
         rows = df.select(column).filter(F.col(column).isNotNull()).sample(fraction=min(1.0, 1.2 * sample / max(n, 1)), seed=seed).limit(sample).collect()
+        if not rows:
+            raise EngineError("unsupported", "there are no vectors")
         points = np.array([r[0] for r in rows], dtype=np.float64)
         self.points, self.measured = points[:SAMPLE].copy(), {}
         points /= np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-12)
@@ -196,20 +198,23 @@ class Cells:
     @classmethod
     def opened(cls, df: DataFrame, key: str, column: str, folder: str | None = None) -> Cells:
         """The cells of a column with its vectors stored by cell: those kept for this content, or made and kept now."""
-        spark, version = df.sparkSession, version_of(df.select(key, column))
-        path, files = f"{folder or shared_dir(spark) + '/cells'}/{version or uuid.uuid4().hex}-{column}", Files(spark)
-        held = files.read(f"{path}/manifest.json") if version else None
-        if held is not None:
-            m = json.loads(held)
+        spark, files, version = df.sparkSession, Files(df.sparkSession), version_of(df.select(key, column))
+        base = folder or shared_dir(spark) + "/cells"
+        pointer = f"{base}/{version}-{column}.path"
+        path = files.read(pointer) if version else None
+        if path is not None:
+            m = json.loads(files.read(f"{path}/manifest.json"))
             cells = cls.__new__(cls)
             cells.centres, cells.points = (np.frombuffer(base64.b64decode(m[x]), dtype=np.float64).reshape(-1, m["dim"]).copy() for x in ("centres", "points"))
             cells.measured = {(k, name): n for k, name, n in json.loads(files.read(f"{path}/measured.json") or "[]")}
         else:
-            cells = cls(df, column)
-            usable = df.select(key, column).filter(F.size(column) == cells.centres.shape[1]) if len(cells.centres) else df.select(key, column).limit(0)
-            cells.assigned(usable, column).repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/vectors")
+            path, cells = f"{base}/{uuid.uuid4().hex}", cls(df, column)
+            usable = df.select(key, column).filter(F.size(column) == cells.centres.shape[1])
+            cells.assigned(usable, column).hint("rebalance", "cell").write.partitionBy("cell").parquet(f"{path}/vectors")
             packed = {x: base64.b64encode(np.ascontiguousarray(getattr(cells, x)).tobytes()).decode() for x in ("centres", "points")}
             files.replace(f"{path}/manifest.json", json.dumps(packed | {"dim": int(cells.centres.shape[-1])}))
+            if version:  # put there last, so that those who make the same don't meet
+                files.replace(pointer, path)
         cells.path = path
         cells.stored = spark.read.schema(T.StructType([df.schema[key], df.schema[column], T.StructField("cell", T.IntegerType())])).parquet(f"{path}/vectors")
         return cells

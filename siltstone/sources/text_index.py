@@ -4,8 +4,9 @@ Postings are ordered by term and key in files of a range each, so that a query r
 its terms alone; a term that very many documents have spreads over several files. Each posting has its
 document's length, and the manifest the statistics, so that ranking needs neither the texts nor a join.
 
-The folder is named by the content that was indexed. An index whose manifest is there and fits is
-loaded; otherwise it is built anew, and counts once the manifest is written.
+An index whose manifest is there and fits is loaded; otherwise it is built anew, in a folder of its own
+that counts once the manifest is written. Indexes of files are found by a pointer that is named by
+their content; whoever builds one puts it there last, so that builders don't meet.
 """
 
 from __future__ import annotations
@@ -102,10 +103,21 @@ def open_index(df: DataFrame, key: str, column: str, folder: str | None = None,
 
     Content without files or a ``version`` can't be told from other, and is indexed each time.
     """
-    spark = df.sparkSession
+    spark, files = df.sparkSession, Files(df.sparkSession)
+    pointer = pointer_of(df, key, column, folder, version)
+    held = files.read(pointer) if pointer else None
+    if held is not None and (made := load(spark, held)) is not None:
+        return made
+    made = build(df, key, column, f"{folder or shared_dir(spark) + '/text-index'}/{uuid.uuid4().hex}")
+    if pointer:
+        files.replace(pointer, made.path)
+    return made
+
+
+def pointer_of(df: DataFrame, key: str, column: str, folder: str | None = None, version: str | None = None) -> str | None:
+    """The file that names the folder of the index of this content."""
     version = version or version_of(df.select(key, column))
-    path = f"{folder or shared_dir(spark) + '/text-index'}/{version or uuid.uuid4().hex}-{key}-{column}"
-    return (load(spark, path) if version else None) or build(df, key, column, path)
+    return f"{folder or shared_dir(df.sparkSession) + '/text-index'}/{version}-{key}-{column}.path" if version else None
 
 
 def maintained(index: TextIndex, gone: DataFrame, new: DataFrame, column: str, path: str) -> TextIndex:
