@@ -33,7 +33,7 @@ DUCK_WORDS = r"list_filter(regexp_split_to_array({t}, '[\t\n\f\r ]+'), lambda w:
 RULES: dict[str, tuple[str, str]] = {
     "no_words": ("NOT {t} RLIKE '[^\\\\t\\\\n\\\\f\\\\r ]'", r"NOT regexp_matches({t}, '[^\t\n\f\r ]')"),
     "few_letters": (
-        "10 * length(regexp_replace({t}, '[^\\\\p{{L}}]', '')) < 3 * length(regexp_replace({t}, '[\\\\t\\\\n\\\\f\\\\r ]', ''))",
+        "10 * length(regexp_replace({t}, '[^\\\\p{{L}}]+', '')) < 3 * length(regexp_replace({t}, '[\\\\t\\\\n\\\\f\\\\r ]+', ''))",
         r"10 * length(regexp_replace({t}, '[^\pL]', '', 'g')) < 3 * length(regexp_replace({t}, '[\t\n\f\r ]', '', 'g'))",
     ),
     "symbols": (
@@ -45,11 +45,11 @@ RULES: dict[str, tuple[str, str]] = {
         "(length({t}) - length(replace({t}, '!', ''))) * 4 > len({w})",
     ),
     "upper_case": (
-        "length(regexp_replace({t}, '[^\\\\p{{Lu}}]', '')) * 10 > 6 * length(regexp_replace({t}, '[^\\\\p{{L}}]', '')) AND size({w}) >= 3",
+        "length(regexp_replace({t}, '[^\\\\p{{Lu}}]+', '')) * 10 > 6 * length(regexp_replace({t}, '[^\\\\p{{L}}]+', '')) AND size({w}) >= 3",
         r"length(regexp_replace({t}, '[^\p{{Lu}}]', '', 'g')) * 10 > 6 * length(regexp_replace({t}, '[^\pL]', '', 'g')) AND len({w}) >= 3",
     ),
     "word_length": (
-        "length(regexp_replace({t}, '[\\\\t\\\\n\\\\f\\\\r ]', '')) > 25 * size({w})",
+        "length(regexp_replace({t}, '[\\\\t\\\\n\\\\f\\\\r ]+', '')) > 25 * size({w})",
         r"length(regexp_replace({t}, '[\t\n\f\r ]', '', 'g')) > 25 * len({w})",
     ),
     "repetition": (
@@ -68,7 +68,8 @@ def order_rules(docs: DataFrame, size: int = SAMPLE) -> list[tuple[str, float, f
     """(rule, seconds for the sample, share rejected of what the rules before leave) in the order of the cascade."""
     docs = only(docs, "text")
     n = docs.count()
-    sample = cut(docs.sample(fraction=min(1.0, 1.2 * size / max(n, 1)), seed=11).limit(size)) if n > size else cut(docs)
+    sample = docs.sample(fraction=min(1.0, 1.2 * size / max(n, 1)), seed=11).limit(size) if n > size else docs
+    sample = cut(sample.repartition(docs.sparkSession.sparkContext.defaultParallelism))  # a limit leaves one partition
     judged = sample.select(*[F.expr(rule(name)).alias(name) for name in RULES]).collect()
     often = sample.select("text", F.explode(F.sequence(F.lit(1), F.lit(REPEATS))).alias("k"))
 
