@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
-import tempfile
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.sources.files import Files, cut, shared_dir
+
+__all__ = ["Words", "chunks", "cut", "fresh", "grams", "loose", "mix", "normal", "only", "powers", "raw_bytes", "remove", "shared_dir", "span_hash", "table", "words_of"]
+
 U64 = np.uint64
 #: Bytes that end a word; the same set as ``\s`` in RE2.
 SPACE = np.zeros(256, dtype=bool)
@@ -25,28 +28,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where the session names none."""
-    sc = spark.sparkContext
-    folder = sc.getCheckpointDir()
-    if folder is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            folder = tempfile.mkdtemp(prefix="siltstone-checkpoint-")
-        sc.setCheckpointDir(folder)
-    return folder
-
-
 def remove(spark: SparkSession, folder: str) -> None:
     """Deletes a folder, wherever it is kept."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)  # noqa: SLF001
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)  # noqa: SLF001
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder, so that its lineage ends here and survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    Files(spark).remove(folder)
 
 
 def loose(df: DataFrame, *columns: str) -> DataFrame:
@@ -71,11 +55,6 @@ def only(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[df[c] for c in columns])
 
 
-def word_count(text: Column) -> Column:
-    """Number of words set apart by white space; 0 for null."""
-    return F.coalesce(F.size(F.filter(F.split(text, r"[\t\n\f\r ]+"), lambda x: x != "")), F.lit(0))
-
-
 # --------------------------------------------------------------------------- numpy hashing
 
 

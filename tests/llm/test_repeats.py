@@ -115,3 +115,23 @@ def test_matches_are_looked_up_at_factors_and_boundaries_only(monkeypatch):
     found = lempel_ziv_dedup.find(block)
     assert [tuple(x) for x in found.tolist()] == plain_spans(block, False)
     assert sum(seen) < 0.95 * len(block.symbols)
+
+
+def test_a_hot_key_is_split_where_the_other_side_is_loose(spark):
+    from pyspark.sql import functions as F
+
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    for k, v in zip(old, ("64", "-1", "200k", "100k"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        rows = common.cut(spark.range(400_000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 ELSE id END AS a", "id AS x").repartition(8))
+        least = rows.groupBy("a").agg(F.min("x").alias("m"))
+        found = []
+        for side in (common.loose(least, "a"), least):
+            joined = rows.join(side, "a").filter("x > m")
+            n = len(joined.collect())
+            found.append((n, "skew=true" in joined._jdf.queryExecution().executedPlan().toString()))  # noqa: SLF001
+        assert found == [(133_334, True), (133_334, False)]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
