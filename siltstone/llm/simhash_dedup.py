@@ -1,16 +1,15 @@
-"""Near-duplicate documents by SimHash and a May-Ozerov search.
+"""Near-duplicate documents by SimHash and a search in lists of equal strips.
 
 A fingerprint of 256 bits holds the signs of the summed hashes of a document's distinct word pairs.
-Near duplicates are fingerprints that differ in at most ``DISTANCE`` bits. The search for them is a
-nearest-neighbour recursion in the way of May and Ozerov: a random strip of coordinates and random
-centres make lists of the fingerprints whose partial weight on the strip, counted from the centre,
-is low. Two close fingerprints meet in a list far more often than two others. Lists that are still
-long are filtered again by weights on further strips; short ones are searched by brute force. All is
-repeated with other strips as often as the target recall needs, by a simulation of the filters at
-``DISTANCE``: half of what may be missed is left to the strips of the shuffled lists, the other half
-to the recursion, halved again at each depth. So the recall holds at every size. Where lists would
-outgrow a task, those that are shuffled are filtered twice before. Groups are the connected components
-of what is found.
+Near duplicates are fingerprints that differ in at most ``DISTANCE`` bits. Those that are equal on a
+random strip of coordinates make a list: the filter of May and Ozerov with weight 0 from every centre.
+Two close fingerprints meet in a list far more often than two others. The strip is as long as the number
+of fingerprints asks for, so that lists stay short at every size; up to ``LEAF`` they are searched by
+brute force, longer ones are parted by further strips. All is repeated with other strips as often as the
+target recall needs at ``DISTANCE``: half of what may be missed is left to the strips of the shuffled
+lists, the other half to the recursion, halved again at each depth. So the recall holds at every size.
+Strips of the shuffle end at ``STRIP`` coordinates, which bounds its entries; where lists would outgrow
+a task for that, they are filtered twice before. Groups are the connected components of what is found.
 
 Equal fingerprints are one point of the search and of the components, so copies by the thousand cost
 nothing: they are joined with their point's group at the end, where Spark splits the hot ones.
@@ -27,7 +26,6 @@ Defined results
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Iterator
 
@@ -41,13 +39,15 @@ from siltstone.llm.common import U64, chunks, cut, fresh, loose, mix, normal, on
 BITS = 256
 #: Fingerprints that differ in so many bits are near; a pair at that distance is found with a probability of ``RECALL`` at least.
 DISTANCE, RECALL = 56, 0.95
-#: Coordinates of a strip, most weight on it, and centres: of lists that are shuffled, and of the recursion within one.
-OUTER, INNER = (24, 4, 1300), (16, 3, 300)
 #: Lists up to this length are searched by brute force; entries above which shuffled lists are filtered twice.
 LEAF, LONGEST = 2048, 1_000_000
+#: Entries of a shuffled list that its strip's length is chosen for, and the most coordinates of such a strip.
+LIST, STRIP = 1024, 14
 SEED = 77
 #: Bytes of packed list entries in one partition, about.
 PART_BYTES = 24 << 20
+#: Points of one task that makes entries, and entries that it makes at a time.
+POINTS, AT_ONCE = 1 << 14, 1 << 19
 ENTRY = np.dtype([("key", "<u8"), ("id", "<i8"), ("fp", "<u8", (4,))])
 POINT = ("a", "b", "c", "d")
 
@@ -111,44 +111,25 @@ def _fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 def strip_values(fps: np.ndarray, strip: np.ndarray) -> np.ndarray:
     """The bits of ``strip`` of each fingerprint, as one number."""
-    value = np.zeros(len(fps), dtype=np.uint32)
+    value = np.zeros(len(fps), dtype=U64)
     for k, bit in enumerate(strip.tolist()):
-        value |= ((fps[:, bit >> 6] >> U64(bit & 63)) & U64(1)).astype(np.uint32) << np.uint32(k)
+        value |= ((fps[:, bit >> 6] >> U64(bit & 63)) & U64(1)) << U64(k)
     return value
 
 
-def passes(values: np.ndarray, centres: np.ndarray, weight: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, centre) wherever a value's weight, counted from the centre, is at most ``weight``."""
-    rows, which = [], []
-    step = max(1, (1 << 20) // len(centres))
-    for at in range(0, len(values), step):
-        r, c = np.nonzero(np.bitwise_count(values[at : at + step, None] ^ centres[None, :]) <= weight)
-        rows.append(r + at)
-        which.append(c)
-    return (np.concatenate(rows), np.concatenate(which)) if rows else (np.zeros(0, np.int64),) * 2
-
-
-def strip_and_centres(shape: tuple[int, int, int], *seed: int) -> tuple[np.ndarray, np.ndarray]:
-    length, _, centres = shape
-    rng = np.random.default_rng([SEED, *seed])
-    return rng.permutation(BITS)[:length], rng.integers(0, 1 << length, centres, dtype=np.uint32)
-
-
-@functools.cache
-def repetitions(shape: tuple[int, int, int], recall: float, distance: int = DISTANCE) -> int:
-    """How many strips find a pair at ``distance`` with probability ``recall``: by simulation."""
-    length, weight, centres = shape
-    rng = np.random.default_rng(SEED)
-    n, met = 4000, 0
-    for _ in range(4):
-        flips = np.zeros((n, length), dtype=bool)
-        flips[:] = rng.hypergeometric(distance, BITS - distance, length, n)[:, None] > np.argsort(rng.random((n, length)), axis=1)
-        change = (flips.astype(np.uint32) << np.arange(length, dtype=np.uint32)).sum(axis=1).astype(np.uint32)
-        x = rng.integers(0, 1 << length, n, dtype=np.uint32)
-        z = rng.integers(0, 1 << length, centres, dtype=np.uint32)
-        near = (np.bitwise_count(x[:, None] ^ z) <= weight) & (np.bitwise_count((x ^ change)[:, None] ^ z) <= weight)
-        met += int(near.any(axis=1).sum())
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - met / (4 * n))))
+def strip_length(n: int, size: int, most: int = 32) -> int:
+    """Coordinates of a strip that parts ``n`` fingerprints into lists of ``size`` at most, if they are even."""
+    return min(most, max(1, math.ceil(math.log2(max(n, 1) / max(size, 1)))))
+
+
+def strip_of(length: int, *seed: int) -> np.ndarray:
+    return np.random.default_rng([SEED, *seed]).permutation(BITS)[:length]
+
+
+def repetitions(length: int, recall: float, distance: int = DISTANCE) -> int:
+    """How many strips find a pair at ``distance`` with probability ``recall``."""
+    met = math.comb(BITS - distance, length) / math.comb(BITS, length)
+    return 1 if met >= recall else math.ceil(math.log(1 - recall) / math.log(1 - met))
 
 
 # --------------------------------------------------------------------------- within a list
@@ -157,18 +138,18 @@ def repetitions(shape: tuple[int, int, int], recall: float, distance: int = DIST
 def components(fps: np.ndarray, distance: int, label: np.ndarray) -> np.ndarray:
     """``label`` with the smallest one of all rows linked by pairs within ``distance``; by brute force."""
     n = len(fps)
-    step = max(1, (1 << 19) // max(n, 1))
+    step = max(1, (1 << 17) // max(n, 1))
     links = []
+    words = [np.ascontiguousarray(fps[:, k]) for k in range(4)]
     for at in range(0, n, step):
-        block = fps[at : at + step]
+        end = min(at + step, n)
         # half of the bits rule most pairs out
-        half = np.bitwise_count(block[:, None, 0] ^ fps[None, at:, 0])
-        half += np.bitwise_count(block[:, None, 1] ^ fps[None, at:, 1])
-        a, b = np.nonzero(half <= distance)
-        more = b > a
-        a, b = a[more], b[more]
-        rest = np.bitwise_count(block[a, 2] ^ fps[at + b, 2]) + np.bitwise_count(block[a, 3] ^ fps[at + b, 3])
-        more = rest.astype(np.int64) + half[a, b] <= distance
+        half = np.bitwise_count(words[0][at:end, None] ^ words[0][None, at:])
+        half += np.bitwise_count(words[1][at:end, None] ^ words[1][None, at:])
+        some = np.flatnonzero(half <= distance)
+        a, b = np.divmod(some, n - at)
+        rest = np.bitwise_count(words[2][at + a] ^ words[2][at + b]) + np.bitwise_count(words[3][at + a] ^ words[3][at + b])
+        more = (rest.astype(np.int64) + half.ravel()[some] <= distance) & (b > a)
         if more.any():
             a, b = a[more] + at, b[more] + at
             label = spread(label, a, b)  # already now, so that large cliques need no list of all pairs
@@ -204,17 +185,15 @@ def search(fps: np.ndarray, distance: int = DISTANCE, leaf: int = LEAF, depth: i
     label = np.arange(len(fps))
     if len(fps) <= leaf:
         return components(fps, distance, label)
-    for k in range(repetitions(INNER, 1 - (1 - RECALL) / 2 ** (depth + 2), distance)):
-        strip, centres = strip_and_centres(INNER, 2, key, depth, k)
-        rows, which = passes(strip_values(fps, strip), centres, INNER[1])
-        order = np.argsort(which, kind="stable")
-        rows = rows[order]
-        cuts = np.flatnonzero(np.diff(which[order])) + 1
-        for nth, part in enumerate(np.split(rows, cuts) if len(rows) else ()):
+    length = strip_length(len(fps), max(1, leaf // 8))
+    for k in range(repetitions(length, 1 - (1 - RECALL) / 2 ** (depth + 2), distance)):
+        values = strip_values(fps, strip_of(length, 2, key, depth, k))
+        order = np.argsort(values, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(values[order])) + 1):
             if len(part) < 2:
                 continue
             # a list that hardly shrank holds one cluster; filtering it again would not part it
-            found = components(fps[part], distance, np.arange(len(part))) if len(part) > len(fps) // 2 else search(fps[part], distance, leaf, depth + 1, (key * 31 + k * INNER[2] + nth) % (1 << 63))
+            found = components(fps[part], distance, np.arange(len(part))) if len(part) > len(fps) // 2 else search(fps[part], distance, leaf, depth + 1, (key * 31 + (k << length) + int(values[part[0]])) % (1 << 63))
             own = np.flatnonzero(found != np.arange(len(part)))
             if len(own):
                 label = spread(label, part[own], part[found[own]])
@@ -224,41 +203,37 @@ def search(fps: np.ndarray, distance: int = DISTANCE, leaf: int = LEAF, depth: i
 # --------------------------------------------------------------------------- the search on Spark
 
 
-def _twice(rows: np.ndarray, keys: np.ndarray, other: np.ndarray, which: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each list of a row with each of its lists in another filter: (row, key of both). Rows come in order."""
-    count = np.bincount(other, minlength=n)
-    times = count[rows]
-    at = np.repeat((np.cumsum(count) - count)[rows] - (np.cumsum(times) - times), times) + np.arange(times.sum())
-    return np.repeat(rows, times), mix(np.repeat(keys, times) + which[at].astype(U64))
-
+def _emit(length: int, trees: int, again: int, buckets: int):
+    """Each fingerprint's list entries, packed by bucket: few rows for the shuffle, none of them wide.
 
-def _emit(trees: int, again: int, buckets: int):
-    """Each fingerprint's list entries, packed by bucket: few rows for the shuffle, none of them wide."""
+    A list is the value of a strip; where ``again`` is not 0, that of a strip with each of so many others.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = [strip_and_centres(OUTER, 0, k) for k in range(trees)]
-        more = [strip_and_centres(OUTER, 1, k) for k in range(again)]
+        made = [strip_of(length, 0, k) for k in range(trees)]
+        more = [strip_of(length, 1, k) for k in range(again)]
+        step = max(1, AT_ONCE // (trees * max(again, 1)))
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            fps = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in (1, 2, 3, 4)], axis=1).view(U64)
-            second = [passes(strip_values(fps, strip), centres, OUTER[1]) for strip, centres in more]
-            parts = []
-            for k, (strip, centres) in enumerate(made):
-                rows, which = passes(strip_values(fps, strip), centres, OUTER[1])
-                keys = mix((which + k * OUTER[2] + 1).astype(U64))
-                for r, found in [(rows, keys)] if not more else (_twice(rows, keys + U64(j * OUTER[2] + 1), *second[j], len(ids)) for j in range(again)):
-                    entry = np.empty(len(r), dtype=ENTRY)
-                    entry["key"], entry["id"], entry["fp"] = found, ids[r], fps[r]
-                    parts.append(entry)
-            every = np.concatenate(parts)
-            bucket = (every["key"] % U64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            every, bucket = every[order], bucket[order]
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, np.int64)
-            yield pa.record_batch(
-                [pa.array(bucket[cuts[:-1]].astype(np.int32)), pa.array([every[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())],
-                names=["bucket", "entries"],
-            )
+            every_id = batch.column(0).to_numpy(zero_copy_only=False)
+            every_fp = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in (1, 2, 3, 4)], axis=1).view(U64)
+            for low in range(0, len(every_id), step):
+                ids, fps = every_id[low : low + step], every_fp[low : low + step]
+                keys = [mix(strip_values(fps, strip) + U64((k << 32) + 1)) for k, strip in enumerate(made)]
+                second = [mix(strip_values(fps, strip) + U64((k << 32) + 2)) for k, strip in enumerate(more)]
+                if more:
+                    keys = [mix(one * U64(3) + two) for one in keys for two in second]
+                key = np.concatenate(keys)
+                bucket = (key % U64(buckets)).astype(np.int32)
+                order = np.argsort(bucket, kind="stable")
+                every = np.empty(len(order), dtype=ENTRY)
+                row = order % len(ids)
+                every["key"], every["id"], every["fp"] = key[order], ids[row], fps[row]
+                bucket = bucket[order]
+                cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+                yield pa.record_batch(
+                    [pa.array(bucket[cuts[:-1]]), pa.array([every[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())],
+                    names=["bucket", "entries"],
+                )
 
     return run
 
@@ -311,13 +286,12 @@ def linked(marks: DataFrame, distance: int = DISTANCE, leaf: int = LEAF, longest
     """Points (a, b, c, d, id), a row for each fingerprint, and links (a, b) of their ids, a > b."""
     points = cut(marks.select(*POINT).distinct().withColumn("id", F.monotonically_increasing_id()))
     n = points.count()
-    length, weight, centres = OUTER
-    share = sum(math.comb(length, i) for i in range(weight + 1)) / 2**length
-    levels = 1 if n * share <= longest else 2
-    times = repetitions(OUTER, 1 - (1 - RECALL) / 2 / levels, distance)
-    each = (times * centres * share) ** levels
-    buckets = max(1, math.ceil(n * each * ENTRY.itemsize / PART_BYTES))
-    lists = points.select("id", *POINT).repartition(buckets).mapInArrow(_emit(times, times if levels > 1 else 0, buckets), "bucket int, entries binary")
+    length = strip_length(n, LIST, STRIP)
+    levels = 1 if n / 2**length <= longest else 2
+    times = repetitions(length, 1 - (1 - RECALL) / 2 / levels, distance)
+    buckets = max(1, math.ceil(n * times**levels * ENTRY.itemsize / PART_BYTES))
+    makers = max(1, math.ceil(n / POINTS))
+    lists = points.select("id", *POINT).repartition(makers).mapInArrow(_emit(length, times, times if levels > 1 else 0, buckets), "bucket int, entries binary")
     return points, lists.repartitionById(buckets, F.col("bucket")).select("entries").mapInArrow(_lists(distance, leaf), "a bigint, b bigint")
 
 

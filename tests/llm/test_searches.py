@@ -150,6 +150,19 @@ def test_long_lists_keep_the_recall():
     assert (label[5000:] == np.arange(800)).mean() >= 1 - (1 - simhash_dedup.RECALL) / 2 - 0.015 and (label[:5000] == np.arange(5000)).all()
 
 
+def test_work_grows_little_faster_than_the_rows(monkeypatch):
+    """Lists stay short at the sizes of 0.5, 6 and 30 GB, and one just beyond ``LEAF`` isn't parted into thousands."""
+    import numpy as np
+
+    for n in (236_000, 2_833_000, 13_900_000):
+        assert n / 2 ** simhash_dedup.strip_length(n, simhash_dedup.LIST, simhash_dedup.STRIP) <= simhash_dedup.LIST
+    calls, plain = [], simhash_dedup.components
+    monkeypatch.setattr(simhash_dedup, "components", lambda fps, *rest: calls.append(len(fps)) or plain(fps, *rest))
+    n = simhash_dedup.LEAF + 250
+    simhash_dedup.search(np.random.default_rng(13).integers(0, 1 << 63, (n, 4), dtype=np.uint64))
+    assert 0 < len(calls) < 500 and sum(k * k for k in calls) < 2 * n * n
+
+
 def test_one_text_in_a_third_of_all_rows(spark):
     text = " ".join(brute.prose(3, 40))
     docs = spark.range(9000).selectExpr("id AS doc_id", f"CASE WHEN id % 3 = 1 THEN '{text}' ELSE concat('row ', id, ' has ', id * 31, ' other ', id * 77, ' words') END AS text")
