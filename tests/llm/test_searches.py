@@ -163,6 +163,25 @@ def test_work_grows_little_faster_than_the_rows(monkeypatch):
     assert 0 < len(calls) < 500 and sum(k * k for k in calls) < 2 * n * n
 
 
+@pytest.mark.parametrize("n", [236_000, 2_833_000, 13_900_000])
+def test_strips_of_every_size_keep_the_recall(n):
+    """Pairs exactly ``DISTANCE`` apart meet on a strip of the shuffle, at the lengths of 0.5, 6 and 30 GB."""
+    import numpy as np
+
+    rng = np.random.default_rng(14)
+    base = rng.integers(0, 1 << 63, (3000, 4), dtype=np.uint64)
+    near = base.copy()
+    for row in near:
+        for bit in rng.permutation(256)[: simhash_dedup.DISTANCE]:
+            row[bit >> 6] ^= np.uint64(1) << np.uint64(bit & 63)
+    length, recall = simhash_dedup.strip_length(n, simhash_dedup.LIST, simhash_dedup.STRIP), 1 - (1 - simhash_dedup.RECALL) / 2
+    met = np.zeros(3000, dtype=bool)
+    for k in range(simhash_dedup.repetitions(length, recall)):
+        strip = simhash_dedup.strip_of(length, 0, k)
+        met |= simhash_dedup.strip_values(base, strip) == simhash_dedup.strip_values(near, strip)
+    assert met.mean() >= recall - 0.01
+
+
 def test_one_text_in_a_third_of_all_rows(spark):
     text = " ".join(brute.prose(3, 40))
     docs = spark.range(9000).selectExpr("id AS doc_id", f"CASE WHEN id % 3 = 1 THEN '{text}' ELSE concat('row ', id, ' has ', id * 31, ' other ', id * 77, ' words') END AS text")
