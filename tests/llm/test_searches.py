@@ -163,6 +163,25 @@ def test_work_grows_little_faster_than_the_rows(monkeypatch):
     assert 0 < len(calls) < 500 and sum(k * k for k in calls) < 2 * n * n
 
 
+def test_brute_force_looks_at_few_pairs_twice(monkeypatch):
+    """It links the pairs within ``DISTANCE``, and of unrelated ones hardly any gets beyond the first comparison."""
+    import numpy as np
+
+    rng = np.random.default_rng(15)
+    fps = rng.integers(0, 1 << 63, (1500, 4), dtype=np.uint64)
+    for k in range(300):  # the first half differs by DISTANCE bits, the other by one more
+        fps[k + 600] = fps[k]
+        for bit in rng.permutation(256)[: simhash_dedup.DISTANCE + (k >= 150)]:
+            fps[k + 600, bit >> 6] ^= np.uint64(1) << np.uint64(bit & 63)
+    seen, plain = [], np.divmod
+    monkeypatch.setattr(np, "divmod", lambda a, b: seen.append(len(a)) or plain(a, b))
+    label = simhash_dedup.components(fps, simhash_dedup.DISTANCE, np.arange(1500))
+    monkeypatch.undo()
+    want = np.arange(1500)
+    want[600:750] = np.arange(150)
+    assert (label == want).all() and sum(seen) < 2 * (1500 + 300)
+
+
 @pytest.mark.parametrize("n", [236_000, 2_833_000, 13_900_000])
 def test_strips_of_every_size_keep_the_recall(n):
     """Pairs exactly ``DISTANCE`` apart meet on a strip of the shuffle, at the lengths of 0.5, 6 and 30 GB."""
