@@ -99,7 +99,7 @@ def query_tokens(text: str) -> list[str]:
 def query_plural(token: str) -> str:
     if not re.fullmatch("[a-z]{4,}", token):
         return token
-    for pattern, ending in ((r"(..+)ies", "y"), (r"(.+(?:[sxz]|ch|sh))es", "")):
+    for pattern, ending in ((r"(..+)ies", "y"), (r"(.*(?:[sxz]|ch|sh))es", "")):
         if m := re.fullmatch(pattern, token):
             return m[1] + ending
     return token[:-1] if token.endswith("s") and not token.endswith(("ss", "us", "is", "ns")) else token

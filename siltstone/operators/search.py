@@ -3,8 +3,8 @@
 With a stored index (``sources.text_index``) a query reads the postings of its terms and nothing else.
 Without one, term counts and the length of each document come from one pass over the texts, in which
 only fixed-size numbers leave the scan; they are written once and read by statistics and ranking.
-Statistics are those of the whole collection, whatever is filtered later. Batches of queries go through
-postings, joined on the term.
+Statistics are those of the whole collection, whatever is filtered later. Batches of queries are scored
+beside the texts (``operators.batch``); only those too large for that go through postings, joined on the term.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
+from siltstone.operators import batch
 from siltstone.sources.files import cut
 from siltstone.sources.text_index import TextIndex
 
@@ -168,6 +169,9 @@ def bm25_batch(
     df: DataFrame, key: str, column: str, queries: DataFrame, k: int, analyzer: str = "default", length: str = "analyzed", k1: float = K1, b: float = B, index: TextIndex | None = None
 ) -> DataFrame:
     """(query_id, key, score, rank): the best ``k`` of each query (query_id, text), all queries in one job."""
+    found = None if analyzer == "keyword" else batch.best(df, key, column, queries, k, (analyzer,), length, k1, b)
+    if found is not None:
+        return found[analyzer]
     words = queries.select("query_id", F.explode(F.array_distinct(T.terms(F.col("text"), analyzer))).alias("term"))
     wanted = words.select("term").distinct()
     if index is not None:
@@ -192,6 +196,12 @@ def bm25_batch(
     return sums.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("bigint"))
 
 
+def bm25_batches(df: DataFrame, key: str, column: str, queries: DataFrame, k: int, analyzers: tuple[str, ...]) -> dict[str, DataFrame]:
+    """``bm25_batch`` by analyzer, in one pass over the texts where the batch allows."""
+    found = None if "keyword" in analyzers else batch.best(df, key, column, queries, k, analyzers, "analyzed", K1, B)
+    return found or {a: bm25_batch(df, key, column, queries, k, a) for a in analyzers}
+
+
 def _batch_postings(index: TextIndex, wanted: DataFrame, analyzer: str, length: str) -> tuple[DataFrame, int, float]:
     """((term, key, tf, dl) of the wanted terms, documents, mean length), from stored postings."""
     key = index.key

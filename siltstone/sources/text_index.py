@@ -64,12 +64,25 @@ class TextIndex:
 SMALL = 256 << 20
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df``, dealt to all cores where it is small."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if 0 < size_of(df) <= SMALL else df
+
+
+def unique(df: DataFrame, key: str) -> bool:
+    """Whether each row has a key of its own."""
+    return df.groupBy(key).count().filter(F.col(key).isNull() | (F.col("count") > 1)).isEmpty()
+
+
+def tokenized(df: DataFrame, key: str, column: str, analyzer: str = "default") -> DataFrame:
+    """(key, own): the terms of each key's text, a row for each key. Only where rows share a key are they shuffled."""
+    split = dealt(df.select(key, column)).select(key, T.terms(F.col(column), analyzer).alias("own"))
+    return split if unique(df, key) else split.groupBy(key).agg(F.flatten(F.collect_list("own")).alias("own"))
+
+
 def counted(df: DataFrame, key: str, column: str) -> DataFrame:
     """(term, key, tf, dl) of texts: the default analyzer's tokens, one pass over the texts."""
-    df = df.select(key, column)
-    if 0 < size_of(df) <= SMALL:
-        df = df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-    split = df.select(key, T.tokens(F.col(column)).alias("own"))
+    split = dealt(df.select(key, column)).select(key, T.tokens(F.col(column)).alias("own"))
     return split.select(key, F.size("own").alias("dl"), F.explode("own").alias("term")).groupBy("term", key, "dl").agg(F.count(F.lit(1)).alias("tf")).select("term", key, "tf", "dl")
 
 
