@@ -27,16 +27,39 @@ def evaluate(ranking: DataFrame, judged: DataFrame, k: int) -> DataFrame:
     ``ranking`` is (query_id, doc_id, rank) with ranks from 1, ``judged`` (query_id, doc_id, grade).
     The ideal ranking has all judged documents, whether retrieved or not.
     """
-    top = ranking.filter(F.col("rank") <= k).select("query_id", "doc_id", "rank")
-    order = Window.partitionBy("query_id").orderBy(F.col("grade").desc(), "doc_id")
     positive = judged.filter(F.col("grade") > 0)
-    ideal = (
-        positive.withColumn("place", F.row_number().over(order)).groupBy("query_id")
-        .agg(F.sum((F.col("grade") >= RELEVANT).cast("bigint")).alias("relevant"), F.sum(F.when(F.col("place") <= k, gain(F.col("grade"), F.col("place")))).alias("idcg"))
+    return _measures(_ideal(positive.groupBy("query_id", "grade").agg(F.count(F.lit(1)).alias("n")), k), _top(ranking, k).join(positive, ["query_id", "doc_id"]))
+
+
+def evaluate_classes(ranking: DataFrame, queries: DataFrame, judged: DataFrame, k: int) -> DataFrame:
+    """As ``evaluate``, where ``judged`` (class, doc_id, grade) holds for each query (query_id, class) of its class.
+
+    Pairs of query and judged document aren't made: the ideal of a class comes from how many have each grade.
+    """
+    positive, queries = judged.filter(F.col("grade") > 0), queries.distinct()
+    sizes = positive.groupBy("class", "grade").agg(F.count(F.lit(1)).alias("n")).join(queries, "class").drop("class")
+    return _measures(_ideal(sizes, k), _top(ranking, k).join(queries, "query_id").join(positive, ["class", "doc_id"]))
+
+
+def _top(ranking: DataFrame, k: int) -> DataFrame:
+    return ranking.filter(F.col("rank") <= k).select("query_id", "doc_id", "rank")
+
+
+def _ideal(sizes: DataFrame, k: int) -> DataFrame:
+    """(query_id, relevant, idcg) from the judged documents of each grade (query_id, grade, n): places depend on grades alone."""
+    upto = F.sum("n").over(Window.partitionBy("query_id").orderBy(F.col("grade").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    places = F.sequence(F.col("upto") - F.col("n") + 1, F.least("upto", F.lit(k)))
+    gains = F.when(F.col("upto") - F.col("n") < k, F.aggregate(places, F.lit(0.0), lambda a, p: a + gain(F.col("grade"), p)))
+    return (
+        sizes.withColumn("upto", upto).groupBy("query_id")
+        .agg(F.sum(F.when(F.col("grade") >= RELEVANT, F.col("n")).otherwise(0)).alias("relevant"), F.sum(gains).alias("idcg"))
         .filter("relevant > 0")
     )
+
+
+def _measures(ideal: DataFrame, hits: DataFrame) -> DataFrame:
     found = (
-        top.join(positive, ["query_id", "doc_id"]).groupBy("query_id")
+        hits.groupBy("query_id")
         .agg(
             F.min(F.when(F.col("grade") >= RELEVANT, F.col("rank"))).alias("first"),
             F.sum((F.col("grade") >= RELEVANT).cast("bigint")).alias("hits"),

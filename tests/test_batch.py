@@ -1,7 +1,8 @@
-"""Batches of queries that are scored beside the texts."""
+"""Batches of queries that are scored beside the texts, and measures without pairs of query and judgment."""
 
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
-from siltstone.operators import batch, search
+from siltstone.operators import batch, relevance, search
 
 WORDS = ["the", "of", "apples", "Äpfel", "apfel", "flies", "fly", "ches", "shes", "boxes", "box", "class", "lens", "this", "straße", "strasse", "x9", "9", "Œuvre", "oeuvre"]
 
@@ -78,3 +79,25 @@ def test_rows_of_one_key_are_one_text(spark, asked):
     whole = spark.createDataFrame([(1, "the box the apples the"), (2, "apples")], "doc_id bigint, text string")
     got, want = (rows(search.bm25_batch(df, "doc_id", "text", asked, 5)) for df in (parted, whole))
     assert got and got == want
+
+
+def test_measures_by_class_are_those_of_all_pairs(spark):
+    rng = random.Random(7)
+    ranking = spark.createDataFrame([(q, d, r + 1) for q in range(9) for r, d in enumerate(rng.sample(range(60), 8))], "query_id bigint, doc_id bigint, rank bigint")
+    judged = spark.createDataFrame([(d % 4, d, d % 5 - 1) for d in range(60) if d % 4 != 3], "class bigint, doc_id bigint, grade int")
+    classed = ranking.select("query_id", (F.col("query_id") % 4).alias("class"))
+    pairs = classed.distinct().join(judged, "class").drop("class")
+
+    def plain(df):
+        return sorted([round(x, 9) for x in r] for r in df.collect())
+
+    got = plain(relevance.evaluate_classes(ranking, classed, judged, 5))
+    assert got == plain(relevance.evaluate(ranking, pairs, 5)) and len(got) == 7
+    ideal = {q: sorted((2**g - 1 for _, d, g in ((x["class"], x["doc_id"], x["grade"]) for x in judged.collect()) if d % 4 == q % 4 and g > 0), reverse=True)[:5] for q in range(9)}
+    tops = {}
+    for r in ranking.collect():
+        if r["rank"] <= 5 and r["doc_id"] % 4 == r["query_id"] % 4 and (g := r["doc_id"] % 5 - 1) > 0:
+            tops[r["query_id"]] = tops.get(r["query_id"], 0) + (2**g - 1) / math.log2(r["rank"] + 1)
+    for r in relevance.evaluate_classes(ranking, classed, judged, 5).collect():
+        q = r["query_id"]
+        assert r["ndcg"] == pytest.approx(tops.get(q, 0) / sum(g / math.log2(p + 2) for p, g in enumerate(ideal[q])))
