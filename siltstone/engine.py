@@ -131,7 +131,7 @@ class Engine:
         """For each open index the postings that it has and shouldn't, or lacks."""
         df, key = self.frame(name)
         return {
-            f: profile.inconsistent(index.postings.select("term", key, "tf"), search.postings(df, key, f).select("term", key, "tf")) for f, index in self.indexes_of(name).items()
+            f: profile.inconsistent(index.postings.select("term", key, "tf"), search.postings(df, key, f).select("term", key, "tf"), key) for f, index in self.indexes_of(name).items()
         }
 
     def frame(self, name: str, as_of: int | None = None, txn: Transaction | None = None) -> tuple[DataFrame, str]:

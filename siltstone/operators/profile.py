@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.plans.catalog import Schema
+from siltstone.sources.files import cut
 
 
 def statistics(df: DataFrame, indexed: list[str], texts: list[str] = (), vectors: list[str] = ()) -> DataFrame:
@@ -32,9 +35,30 @@ def migration(df: DataFrame, now: Schema, target: Schema) -> dict:
     }
 
 
-def inconsistent(stored: DataFrame, rebuilt: DataFrame) -> DataFrame:
-    """Entries that only one side has."""
+#: Keys whose entries differ that are sent to every executor; more are joined by a shuffle.
+FEW = 100_000
+
+
+def only(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows of these keys, of which null may be one."""
+    return df.join(keys, df[key].eqNullSafe(keys[key]), "left_semi")
+
+
+def inconsistent(stored: DataFrame, rebuilt: DataFrame, key: str, narrow: Callable[[DataFrame], tuple[DataFrame, DataFrame]] | None = None) -> DataFrame:
+    """Entries that only one side has.
+
+    The entries of each key are counted and hashed to 128 bits first, in the tasks that make them; only those
+    of keys where the sides differ are compared one by one. ``narrow`` makes both sides for some keys alone.
+    """
     on = [c for c in stored.columns if c in rebuilt.columns]
+
+    def prints(df: DataFrame, name: str) -> DataFrame:
+        hashes = [F.bit_xor(F.xxhash64(*seed, *on)).alias(f"x{i}") for i, seed in enumerate(([], [F.lit("second")]))]
+        return df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *hashes).select(key, F.struct("n", "x0", "x1").alias(name))
+
+    differ = cut(prints(stored, "a").join(prints(rebuilt, "b"), key, "full_outer").filter(~F.col("a").eqNullSafe(F.col("b"))).select(key))
+    differ = F.broadcast(differ) if differ.count() <= FEW else differ
+    stored, rebuilt = (cut(df) for df in (narrow(differ) if narrow else (only(stored, key, differ), only(rebuilt, key, differ))))
     return stored.join(rebuilt, on, "left_anti").select(*on).unionByName(rebuilt.join(stored, on, "left_anti").select(*on))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import text as T
 from siltstone.operators import batch
 from siltstone.sources.files import cut
-from siltstone.sources.text_index import TextIndex
+from siltstone.sources.text_index import TextIndex, runs, tokenized
 
 K1, B = 1.2, 0.75
 
@@ -143,8 +143,8 @@ def candidates(df: DataFrame, key: str, clause: dict, scoped: bool = False, inde
 
 
 def postings(df: DataFrame, key: str, column: str, analyzer: str = "default") -> DataFrame:
-    """(term, key, tf)."""
-    return df.select(key, F.explode(T.terms(F.col(column), analyzer)).alias("term")).groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"))
+    """(term, key, tf), counted within the rows."""
+    return runs(tokenized(df, key, column, analyzer), key).select("term", key, "tf")
 
 
 def analyzed_postings(stored: DataFrame, key: str, analyzer: str) -> DataFrame:

@@ -80,17 +80,31 @@ def tokenized(df: DataFrame, key: str, column: str, analyzer: str = "default") -
     return split if unique(df, key) else split.groupBy(key).agg(F.flatten(F.collect_list("own")).alias("own"))
 
 
+def runs(own: DataFrame, *keep: str) -> DataFrame:
+    """(*keep, term, tf) from (*keep, own): each term of a row and how often it is there, without a shuffle."""
+    # exploding an array of one keeps Catalyst from making it again for each use
+    held = own.select(*keep, F.explode(F.array(F.sort_array("own"))).alias("own")).filter(F.size("own") > 0)
+    first = F.filter(F.sequence(F.lit(0), F.size("own") - 1), lambda i: (i == 0) | (F.get(F.col("own"), i) != F.get(F.col("own"), i - 1)))
+    held = held.select(*keep, "own", F.explode(F.array(first)).alias("first"))
+    several = F.transform("first", lambda i, n: F.struct(F.get(F.col("own"), i).alias("term"), (F.coalesce(F.get(F.col("first"), n + 1), F.size("own")) - i).cast("bigint").alias("tf")))
+    return held.select(*keep, F.explode(several).alias("x")).select(*keep, "x.term", "x.tf")
+
+
 def counted(df: DataFrame, key: str, column: str) -> DataFrame:
     """(term, key, tf, dl) of texts: the default analyzer's tokens, one pass over the texts."""
-    split = dealt(df.select(key, column)).select(key, T.tokens(F.col(column)).alias("own"))
-    return split.select(key, F.size("own").alias("dl"), F.explode("own").alias("term")).groupBy("term", key, "dl").agg(F.count(F.lit(1)).alias("tf")).select("term", key, "tf", "dl")
+    return runs(tokenized(df, key, column).select(key, F.size("own").alias("dl"), "own"), key, "dl").select("term", key, "tf", "dl")
+
+
+def lengths(df: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, dl) of the texts that have tokens."""
+    return tokenized(df, key, column).select(key, F.size("own").alias("dl")).filter("dl > 0")
 
 
-def _write(spark: SparkSession, made: DataFrame, path: str, key: str, loaded: bool = False) -> TextIndex:
+def _write(spark: SparkSession, made: DataFrame, sizes: DataFrame, path: str, key: str, loaded: bool = False) -> TextIndex:
     made.repartitionByRange("term", key).sortWithinPartitions("term", key).write.mode("overwrite").parquet(f"{path}/postings")
     stored = spark.read.parquet(f"{path}/postings")
     stored.groupBy("term").agg(F.count(F.lit(1)).alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
-    stored.groupBy(key).agg(F.first("dl").alias("dl")).write.mode("overwrite").parquet(f"{path}/lengths")
+    sizes.write.mode("overwrite").parquet(f"{path}/lengths")
     documents, words = spark.read.parquet(f"{path}/lengths").agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
     terms = spark.read.parquet(f"{path}/terms").count()
     Files(spark).replace(f"{path}/manifest.json", json.dumps({"format": FORMAT, "key": key, "documents": documents, "terms": terms, "words": words}))
@@ -108,7 +122,7 @@ def load(spark: SparkSession, path: str) -> TextIndex | None:
 
 
 def build(df: DataFrame, key: str, column: str, path: str) -> TextIndex:
-    return _write(df.sparkSession, counted(df, key, column), path, key)
+    return _write(df.sparkSession, counted(df, key, column), lengths(df, key, column), path, key)
 
 
 def open_index(df: DataFrame, key: str, column: str, folder: str | None = None, version: str | None = None) -> TextIndex:
@@ -137,5 +151,5 @@ def maintained(index: TextIndex, gone: DataFrame, new: DataFrame, column: str, p
     """The index after some documents went (by key) and others came or changed: only these are read as texts."""
     key = index.key
     changed = gone.select(key).unionByName(new.select(key)).distinct()
-    kept = index.postings.join(changed, key, "left_anti")
-    return _write(index.spark, cut(kept.unionByName(counted(new, key, column))), path, key)
+    kept, sizes = (df.join(changed, key, "left_anti") for df in (index.postings, index.lengths))
+    return _write(index.spark, cut(kept.unionByName(counted(new, key, column))), cut(sizes.unionByName(lengths(new, key, column))), path, key)
