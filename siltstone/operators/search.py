@@ -147,12 +147,6 @@ def postings(df: DataFrame, key: str, column: str, analyzer: str = "default") ->
     return runs(tokenized(df, key, column, analyzer), key).select("term", key, "tf")
 
 
-def analyzed_postings(stored: DataFrame, key: str, analyzer: str) -> DataFrame:
-    """Stored default postings under another analyzer; terms that become one are added up."""
-    mapped = T.map_terms(F.array("term"), analyzer)
-    return stored.select(F.explode(mapped).alias("term"), key, "tf").groupBy("term", key).agg(F.sum("tf").alias("tf"))
-
-
 def lengths(df: DataFrame, key: str, column: str, analyzer: str = "default") -> DataFrame:
     """(key, dl) of the texts that have tokens."""
     return df.select(key, F.size(T.terms(F.col(column), analyzer)).alias("dl")).filter("dl > 0")

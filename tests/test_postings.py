@@ -30,7 +30,7 @@ def test_terms_are_counted_within_rows(spark, analyzer, more):
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["inverted_index"])
+@pytest.mark.parametrize("name", ["inverted_index", "analyzed_index"])
 def test_postings_are_not_shuffled(spark, small, monkeypatch, name):
     monkeypatch.setattr(text_index, "SMALL", 0)  # small tables are dealt to all cores
     assert "Exchange" not in plan(QUERIES[name](spark, small))
