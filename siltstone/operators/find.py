@@ -54,7 +54,7 @@ def by_index(node: dict | None, indexes: dict[str, TextIndex]) -> tuple[list[dic
     """(the ``contains_text`` conjuncts that a stored index answers, the rest of the filter)."""
     if node is None:
         return [], None
-    if node["type"] == "contains_text" and node["field"] in indexes and T.query_terms(node["query"]):
+    if node["type"] == "contains_text" and isinstance(indexes.get(node["field"]), TextIndex) and T.query_terms(node["query"]):
         return [node], None
     if node["type"] != "and":
         return [], node

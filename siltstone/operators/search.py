@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import text as T
 from siltstone.operators import batch
 from siltstone.sources.files import cut
-from siltstone.sources.text_index import TextIndex, runs, tokenized
+from siltstone.sources.text_index import TextIndex, Texts, dealt, runs, tokenized
 
 K1, B = 1.2, 0.75
 
@@ -32,7 +32,7 @@ def counts(df: DataFrame, key: str, column: str, terms: list[str], analyzer: str
     """(key, dl, tf): length of each text and how often it has each of the terms; texts without tokens are left out."""
     own = T.tokens(F.col(column)) if analyzer == "default" or length == "default" else T.terms(F.col(column), analyzer)
     # exploding an array of one keeps Catalyst from splitting the text again for each use
-    split = df.select(F.col(key), F.explode(F.array(own)).alias("own"))
+    split = dealt(df.select(*dict.fromkeys((key, column)))).select(F.col(key), F.explode(F.array(own)).alias("own"))
     split = split.select(key, F.size("own").alias("dl"), F.explode(F.array(F.col("own") if analyzer == "default" or length != "default" else T.map_terms(F.col("own"), analyzer))).alias("mapped"))
 
     def times(term: str) -> Column:
@@ -125,13 +125,15 @@ def indexed(index: TextIndex, query: str, rank: str = "bm25", require_all: bool
     return (scored.filter(F.col("n") == len(terms)) if require_all else scored).select(index.key, "score")
 
 
-def candidates(df: DataFrame, key: str, clause: dict, scoped: bool = False, index: TextIndex | None = None) -> DataFrame:
+def candidates(df: DataFrame, key: str, clause: dict, scoped: bool = False, index: TextIndex | Texts | None = None) -> DataFrame:
     """(key, score) of a text_search clause. Aggregates (``scoped``) always use the default analyzer."""
+    if isinstance(index, Texts):
+        df, index = index.df, None
     analyzer = "default" if scoped else T.resolve(clause.get("analyzer"))
     if analyzer == "keyword":
         if index is not None:  # texts that have all of its tokens are few
             df = df.join(indexed(index, clause["query"], "term_frequency").select(key), key, "left_semi")
-        return keyword(df, key, clause["field"], clause["query"])
+        return cut(keyword(df, key, clause["field"], clause["query"]))  # few, and read by sampling, ordering and counting
     if index is not None:
         return indexed(index, clause["query"], clause.get("rank", "bm25"), clause.get("operator", "or") == "and", clause.get("k1", K1), clause.get("b", B), analyzer)
     if clause.get("rank", "bm25") == "term_frequency":

@@ -76,7 +76,7 @@ def unique(df: DataFrame, key: str) -> bool:
 
 def tokenized(df: DataFrame, key: str, column: str, analyzer: str = "default") -> DataFrame:
     """(key, own): the terms of each key's text, a row for each key. Only where rows share a key are they shuffled."""
-    split = dealt(df.select(key, column)).select(key, T.terms(F.col(column), analyzer).alias("own"))
+    split = dealt(df.select(*dict.fromkeys((key, column)))).select(key, T.terms(F.col(column), analyzer).alias("own"))
     return split if unique(df, key) else split.groupBy(key).agg(F.flatten(F.collect_list("own")).alias("own"))
 
 
@@ -125,6 +125,20 @@ def build(df: DataFrame, key: str, column: str, path: str) -> TextIndex:
     return _write(df.sparkSession, counted(df, key, column), lengths(df, key, column), path, key)
 
 
+@dataclass
+class Texts:
+    """In the place of an index: a frame that has the texts of a joined collection by themselves, so that only they are read."""
+
+    df: DataFrame
+
+
+def held(df: DataFrame, key: str, column: str) -> TextIndex | None:
+    """The index of a column where one of this content is in the shared folder; none is built."""
+    pointer = pointer_of(df, key, column)
+    path = Files(df.sparkSession).read(pointer) if pointer else None
+    return load(df.sparkSession, path) if path is not None else None
+
+
 def open_index(df: DataFrame, key: str, column: str, folder: str | None = None, version: str | None = None) -> TextIndex:
     """The index of a column: loaded where one of this content is in ``folder`` (by default the shared one), else built there.
 

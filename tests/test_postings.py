@@ -49,3 +49,31 @@ def test_entries_of_one_side_are_found_on_either(spark):
     rebuilt = spark.createDataFrame([("a", 1, 2), ("b", 1, 3), ("a", 2, 1), ("d", 4, 1), ("d", 5, 1)], "term string, id bigint, tf bigint")
     got = sorted(map(tuple, profile.inconsistent(stored, rebuilt, "id").collect()), key=repr)
     assert got == sorted([("b", 1, 1), ("b", 1, 3), ("c", 3, 1), ("d", 4, 1), ("x", None, 1)], key=repr)
+
+
+RANKED = ["hybrid_weighted", "hybrid_filtered", "keyword_match", "agg_search_scoped", "bm25_analyzed", "ranked_page_2", "contains_text_tf"]
+
+
+def test_one_query_builds_no_index_and_uses_one_that_is_there(spark, small, tmp_path, monkeypatch):
+    for name in ("documents", "embeddings"):
+        spark.read.parquet(f"{small}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    build, built, read = text_index.build, [], []
+    monkeypatch.setattr(text_index, "build", lambda *a: built.append(a) or build(*a))
+    indexed = search.indexed
+    monkeypatch.setattr(search, "indexed", lambda *a, **more: read.append(a) or indexed(*a, **more))
+
+    def results():
+        return {n: sorted(map(repr, QUERIES[n](spark, str(tmp_path)).collect())) for n in RANKED}
+
+    without = results()
+    assert not built and not read
+    text_index.open_index(table(spark, str(tmp_path), "documents"), "doc_id", "text")
+    assert results() == without and len(built) == 1 and len(read) >= len(RANKED)
+
+
+def test_hybrid_reads_texts_without_the_join_of_vectors(spark, small, monkeypatch):
+    seen = []
+    bm25 = search.bm25
+    monkeypatch.setattr(search, "bm25", lambda df, *a: seen.append(plan(df)) or bm25(df, *a))
+    monkeypatch.setattr("siltstone.queries.held", lambda *a: None)
+    assert QUERIES["hybrid_weighted"](spark, small).count() == 10 and len(seen) == 1 and "Join" not in seen[0]
