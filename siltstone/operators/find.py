@@ -156,7 +156,12 @@ def find(
     df: DataFrame, q: Find, key: str, schema: Schema | None = None, targets: dict | None = None, cells: nearest.Cells | None = None, indexes: dict[str, TextIndex] | None = None
 ) -> DataFrame:
     short = q.ranked and (q.limit is not None or q.hybrid)
-    out = best(df, q, key, cells, indexes) if short else page(matched(df, q, key, schema, cells, indexes), q, key)
+    if short:
+        out = best(df, q, key, cells, indexes)
+    else:
+        rows = matched(df, q, key, schema, cells, indexes)
+        lean = q.projection is not None and not (q.order_by or q.includes or q.snippet)
+        out = page(project(rows, q, key) if lean else rows, q, key)  # texts that nobody asks for aren't ordered and written
     for name in q.includes:
         link, target, target_key = (targets or {}).get(name) or (None, None, None)
         if link is None:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
-from siltstone.operators import profile, search
+from siltstone.operators import find, profile, search
 from siltstone.queries import QUERIES, table
 from siltstone.sources import text_index
 
@@ -77,3 +77,11 @@ def test_hybrid_reads_texts_without_the_join_of_vectors(spark, small, monkeypatc
     monkeypatch.setattr(search, "bm25", lambda df, *a: seen.append(plan(df)) or bm25(df, *a))
     monkeypatch.setattr("siltstone.queries.held", lambda *a: None)
     assert QUERIES["hybrid_weighted"](spark, small).count() == 10 and len(seen) == 1 and "Join" not in seen[0]
+
+
+@pytest.mark.parametrize("name", ["keyword_match", "bm25_and"])
+def test_texts_that_nobody_asks_for_are_not_ordered_and_written(spark, small, monkeypatch, name):
+    seen = []
+    ordered = find.page
+    monkeypatch.setattr(find, "page", lambda df, *a: seen.append(df.columns) or ordered(df, *a))
+    assert QUERIES[name](spark, small).count() and seen == [["doc_id", "score", "text_score", "vector_score"]]
